@@ -16,7 +16,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -79,7 +79,7 @@ class Bpe:
         self.size = size
         self.own = np.full(size, -1, np.int8)
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {x: np.array([i], "<u4").tobytes() for x, i in added.items()}
+        self.chunks: dict[str, bytes] = {}
         self.counts = {"words": 0, "merged": 0}
 
     def _spines(self, size: int, formed: np.ndarray, halves: np.ndarray) -> None:
@@ -211,14 +211,16 @@ class Bpe:
             return self.pretokens.findall(text)
         return text.replace(" ", "\0 ").split("\0")
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """ids of each text, little-endian 32 bits each; new pretokens of all texts are learned at once."""
-        plain = [[t] if self.split is None or not any(x in t for x in self.added) else self.split.split(t) for t in texts]
-        cuts = [[[x] if x in self.added else self.cut(x) for x in p] for p in plain]
+    def encode_many(self, texts: list[str], special: bool = True) -> list[bytes]:
+        """ids of each text, little-endian 32 bits each; new pretokens of all texts are learned at
+        once. special: strings of added tokens become those tokens."""
+        added = self.added if special else {}
+        plain = [self.split.split(t) if any(x in t for x in added) else [t] for t in texts]
+        cuts = [[[x] if x in added else self.cut(x) for x in p] for p in plain]
         if len(self.chunks) > KNOWN:
-            self.chunks = {x: np.array([i], "<u4").tobytes() for x, i in self.added.items()}
+            self.chunks = {}
         known = self.chunks
-        found = [[list(map(known.get, c)) for c in p] for p in cuts]
+        found = [[[np.array([added[c[0]]], "<u4").tobytes()] if c and c[0] in added else list(map(known.get, c)) for c in p] for p in cuts]
         lost = [(f, c) for fs, p in zip(found, cuts) for f, c in zip(fs, p) if None in f]
         if lost:
             new = {x for f, c in lost for x, ids in zip(c, f) if ids is None}
@@ -241,6 +243,11 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").encode()
 
 
+def plain_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Encodes lists of texts; strings of added tokens are ordinary text."""
+    return lambda texts: load(path).encode_many(texts, special=False)
+
+
 _loaded: dict[str, Bpe] = {}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import bpe
+from quernel.llm import bpe, flatscan, tokenfile
 from quernel.llm.common import documents
 
 
@@ -20,8 +20,19 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(spark, documents(spark, sf_dir), tokenfile.words_encoder(_vocabulary("word_bpe_49k.json")), end_id=1)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, counted in flat files of all documents' byte-level BPE ids."""
+    end = 50256
+    blocks, ids = flatscan.write_flat(documents(spark, sf_dir), bpe.plain_encoder(_vocabulary("byte_bpe_50k.json")), end)
+    return flatscan.scan(blocks, end).join(ids, ["file_id", "ordinal"]).select("doc_id", "n_tokens", "file_id", "ordinal", "begin", "terminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_bpe": op8_bpe}
+    return {"op2_token_files": op2_token_files, "op8_bpe": op8_bpe, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
