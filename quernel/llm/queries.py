@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import bpe, flatscan, tokenfile
+from quernel.llm import bpe, flatscan, mixing, quality, tokenfile
 from quernel.llm.common import documents
 
 
@@ -31,9 +31,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatscan.scan(blocks, end).join(ids, ["file_id", "ordinal"]).select("doc_id", "n_tokens", "file_id", "ordinal", "begin", "terminated")
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_files": op2_token_files, "op8_bpe": op8_bpe, "op10_token_counts": op10_token_counts}
+    return {"op2_token_files": op2_token_files, "op3_mix": op3_mix, "op9_quality_rules": op9_quality_rules, "op8_bpe": op8_bpe, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mix": mixing.sql(), "op9_quality_rules": quality.sql()}
