@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernel.llm import bpe, flatscan, mixing, quality, tokenfile
+from quernel.llm import bpe, classify, flatscan, licenses, media, mixing, quality, tokenfile
 from quernel.llm.common import documents
 
 
@@ -20,6 +21,21 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op4_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = classify.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = classify.score(docs, model)
+    return rows.select("doc_id", classify.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference")
+
+
+def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.write(documents(spark, sf_dir)))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(spark, documents(spark, sf_dir), tokenfile.words_encoder(_vocabulary("word_bpe_49k.json")), end_id=1)
 
@@ -40,7 +56,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_files": op2_token_files, "op3_mix": op3_mix, "op9_quality_rules": op9_quality_rules, "op8_bpe": op8_bpe, "op10_token_counts": op10_token_counts}
+    return {"op1_license_scan": op1_license_scan, "op4_compression_classifier": op4_compression_classifier, "op7_transport_streams": op7_transport_streams, "op2_token_files": op2_token_files, "op3_mix": op3_mix, "op9_quality_rules": op9_quality_rules, "op8_bpe": op8_bpe, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
