@@ -15,23 +15,24 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from quernel.llm.common import id_text, ship
+from quernel.llm.common import Encoder, encode_pieces, id_text, ship
 
 #: Fixed value: how the byte-level scheme cuts a text into pretokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space other than blanks and line ends; texts with it are cut by PRETOKEN alone.
-_ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\0]")
+#: White space other than single blanks between other characters and line ends; texts with it are
+#: cut by PRETOKEN alone.
+ODD = "[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  |\\n \\n|\\A | \\z"
 #: Entries of each worker's table of known chunks and of known pretokens.
-KNOWN = 500_000
+KNOWN = 400_000
 _NEVER = 1 << 40
 _NONE = (_NEVER, 0)
 
@@ -202,48 +203,58 @@ class Bpe:
         self.counts["words"] += len(words)
         self.counts["merged"] += int(wrong.sum())
 
-    def cut(self, text: str) -> list[str]:
-        """A text without added tokens in chunks: pieces at blanks that surely begin a
-        pretoken, or else its pretokens."""
-        if not text:
-            return []
-        if "  " in text or "\n \n" in text or text[0] == " " or text[-1] == " " or _ODD.search(text):
-            return self.pretokens.findall(text)
-        return text.replace(" ", "\0 ").split("\0")
-
-    def encode_many(self, texts: list[str], special: bool = True) -> list[bytes]:
-        """ids of each text, little-endian 32 bits each; new pretokens of all texts are learned at
-        once. special: strings of added tokens become those tokens."""
-        added = self.added if special else {}
-        plain = [self.split.split(t) if any(x in t for x in added) else [t] for t in texts]
-        cuts = [[[x] if x in added else self.cut(x) for x in p] for p in plain]
-        if len(self.chunks) > KNOWN:
-            self.chunks = {}
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """ids of pieces that begin and end where pretokens do; new pretokens are learned at once."""
         known = self.chunks
-        found = [[[np.array([added[c[0]]], "<u4").tobytes()] if c and c[0] in added else list(map(known.get, c)) for c in p] for p in cuts]
-        lost = [(f, c) for fs, p in zip(found, cuts) for f, c in zip(fs, p) if None in f]
-        if lost:
-            new = {x for f, c in lost for x, ids in zip(c, f) if ids is None}
-            own = {c: self.pretokens.findall(c) for c in new}
+        found = list(map(known.get, pieces))
+        if None in found:
+            new = [x for x, ids in zip(pieces, found) if ids is None]
+            if len(known) > KNOWN:
+                known = self.chunks = {}
+            own = {x: self.pretokens.findall(x) for x in new}
             if len(self.words) > KNOWN:
                 self.words = {}
             self.learn(list(set(chain.from_iterable(own.values())) - self.words.keys()))
             get = self.words.__getitem__
-            for c, ws in own.items():
-                known[c] = b"".join(map(get, ws)) if len(ws) > 1 else get(ws[0])
-            for f, c in lost:
-                f[:] = map(known.__getitem__, c)
-        return [b"".join(map(b"".join, fs)) for fs in found]
+            for x, ws in own.items():
+                known[x] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
+            found = [known[x] if ids is None else ids for x, ids in zip(pieces, found)]
+        return found
+
+    def _odd(self, text: str, special: bool) -> bytes:
+        """ids of a text that blanks alone don't cut right."""
+        parts = self.split.split(text) if special and self.split is not None else [text]
+        cuts = [[x] if special and x in self.added else self.pretokens.findall(x) for x in parts]
+        words = {w for c, x in zip(cuts, parts) if not (special and x in self.added) for w in c}
+        if len(self.words) > KNOWN:
+            self.words = {}
+        self.learn(list(words - self.words.keys()))
+        own = self.words.__getitem__
+        return b"".join(np.array([self.added[x]], "<u4").tobytes() if special and x in self.added else b"".join(map(own, c)) for c, x in zip(cuts, parts))
+
+    def encode_many(self, texts: pa.Array, special: bool = True) -> list[bytes]:
+        """ids of each text, little-endian 32 bits each. special: strings of added tokens become those tokens."""
+        odd = pc.match_substring_regex(texts, ODD)
+        if special:
+            for t in self.added:
+                odd = pc.or_(odd, pc.match_substring(texts, t))
+        where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        # A blank before another character always begins a pretoken.
+        plain = pc.if_else(odd, pa.scalar("", texts.type), texts)
+        out = encode_pieces(pc.replace_substring(plain, " ", "\0 "), "\0", self.pieces)
+        for i in where.tolist():
+            out[i] = self._odd(texts[i].as_py(), special)
+        return out
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        return self.encode_many(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids in UTF-8; what is not UTF-8 becomes U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").encode()
 
 
-def plain_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+def plain_encoder(path: str) -> Encoder:
     """Encodes lists of texts; strings of added tokens are ordinary text."""
     return lambda texts: load(path).encode_many(texts, special=False)
 
@@ -265,9 +276,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                ids = bpe.encode_many(part.column(1).to_pylist())
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                ids = bpe.encode_many(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x).decode() for x in ids], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
@@ -282,8 +293,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         bpe = load(path)
         for batch in batches:
             n, a, b = [], [], []
-            for k in range(0, batch.num_rows, 1000):
-                for ids in bpe.encode_many(batch.column(1).slice(k, 1000).to_pylist()):
+            for k in range(0, batch.num_rows, 2000):
+                for ids in bpe.encode_many(batch.column(1).slice(k, 2000)):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

@@ -6,12 +6,18 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts to the ids of each, little-endian 32 bits.
+Encoder = Callable[[pa.Array], list[bytes]]
+
 _shipped: set[str] = set()
 
 
@@ -73,10 +79,32 @@ def raw(column: pa.Array) -> list[memoryview]:
         return []
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     bufs = column.buffers()
-    import numpy as np
-
     offsets = np.frombuffer(bufs[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
     data = memoryview(bufs[2] if bufs[2] is not None else b"")
     valid = column.is_valid().to_pylist() if column.null_count else None
     at = offsets.tolist()
     return [data[at[i] : at[i + 1]] if valid is None or valid[i] else data[:0] for i in range(len(at) - 1)]
+
+
+def encode_pieces(texts: pa.Array, at: str, lookup: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """Each text's ids (little-endian 32 bits) as those of its pieces between the character at.
+
+    Pieces are numbered by Arrow, so that lookup sees each distinct piece of these texts once, and
+    the ids are put together over arrays.
+    """
+    if len(texts) == 0:
+        return []
+    lists = pc.split_pattern(texts, at)
+    coded = lists.flatten().dictionary_encode()
+    ids = lookup(coded.dictionary.to_pylist())
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begin = np.cumsum(size) - size
+    piece = coded.indices.to_numpy()
+    n = size[piece]
+    ends = np.cumsum(n)
+    place = np.repeat(begin[piece] - (ends - n), n)
+    place += np.arange(len(place))
+    data = flat[place].tobytes()
+    cut = np.concatenate([[0], ends])[np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy()]))] * 4
+    return [data[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]

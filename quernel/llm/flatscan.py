@@ -13,7 +13,7 @@ has no documents. Rows that repeat an id stay apart.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import id_text, ship, stored
+from quernel.llm.common import Encoder, id_text, ship, stored
 
 BLOCK_BYTES = 1 << 20
 
 
-def write_flat(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], end_id: int, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+def write_flat(docs: DataFrame, encode: Encoder, end_id: int, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Each input partition as one flat file, stored as rows (file_id, block, data); beside it the
     document ids in the files' order (file_id, ordinal, doc_id), which the scan doesn't use."""
     ship(docs.sparkSession)
@@ -43,9 +43,9 @@ def write_flat(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], end_
             )
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                data = rest + b"".join(np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in encode(part.column(1).to_pylist()))
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                data = rest + b"".join(np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in encode(part.column(1)))
                 whole = len(data) // block_bytes
                 yield rows([data[i * block_bytes : (i + 1) * block_bytes] for i in range(whole)], ordinal, part.column(0).to_numpy(zero_copy_only=False))
                 block, ordinal, rest = block + whole, ordinal + part.num_rows, data[whole * block_bytes :]

@@ -23,19 +23,23 @@ takes a few times its own size in one worker.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
+import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import id_text, parts, ship, stored
+from quernel.llm.common import Encoder, encode_pieces, id_text, parts, ship, stored
 
 MAGIC = b"QTOK0001"
 #: Bound of the sample that the dictionary is trained on: documents, and characters of each.
@@ -44,12 +48,19 @@ DICTIONARY_BYTES = 65_536
 #: A container is closed at this size.
 CONTAINER_BYTES = 4 << 20
 #: Entries of each worker's table of known words.
-KNOWN = 600_000
+KNOWN = 400_000
+#: Characters whose lower case may depend on their place or be longer.
+_ODD = regex.compile("[\u03a3\u0130]")
 
 
 class Words:
-    """A tokenizers file whose scheme drops white space: a text's ids are those of its blank-separated
-    pieces one after the other, so each distinct piece goes through the library once."""
+    """A tokenizers file whose scheme drops white space and marks the ends of words.
+
+    A text's ids are those of its blank-separated pieces one after the other, and a piece's ids
+    those of its pretokens. Each distinct pretoken goes through the library once, many to a call;
+    ids that end a word tell where the next begins. Pieces that normalisation may cut otherwise,
+    and calls whose words don't come out even, go through the library one by one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,34 +68,63 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.pretokens = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """ids of each text, little-endian 32 bits each."""
-        cuts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > KNOWN:
-            self.known = {}
+        self.words: dict[str, bytes] = {}
+
+    def _single(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), 10_000):
+            part = words[k : k + 10_000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(part) or (len(at) and at[-1] != len(ids)):
+                self.words.update(zip(part, self._single(part)))
+                continue
+            data, at = ids.tobytes(), (4 * at).tolist()
+            self.words.update((w, data[i:j]) for w, i, j in zip(part, [0, *at], at))
+
+    def _plain(self, piece: str) -> bool:
+        """Whether lower case alone normalises a piece."""
+        return piece.isascii() and "<|" not in piece or not any(t in piece for t in self.added) and not _ODD.search(piece) and unicodedata.is_normalized("NFC", piece)
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """ids of pieces without blanks and line ends."""
         known = self.known
-        found = [list(map(known.get, c)) for c in cuts]
-        lost = [(f, c) for f, c in zip(found, cuts) if None in f]
-        if lost:
-            new = list({x for f, c in lost for x, ids in zip(c, f) if ids is None})
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                ids = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
-                flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-                ends = np.cumsum([4 * len(x) for x in ids]).tolist()
-                known.update((w, flat[i:j]) for w, i, j in zip(part, [0, *ends], ends))
-            for f, c in lost:
-                f[:] = map(known.__getitem__, c)
-        return list(map(b"".join, found))
+        found = list(map(known.get, pieces))
+        if None in found:
+            new = [x for x, ids in zip(pieces, found) if ids is None]
+            if len(known) > KNOWN:
+                known = self.known = {}
+            other = [x for x in new if not self._plain(x)]
+            known.update(zip(other, self._single(other)))
+            own = {x: self.pretokens.findall(x.lower()) for x in set(new).difference(other)}
+            if len(self.words) > KNOWN:
+                self.words = {}
+            self._learn(list(set(chain.from_iterable(own.values())) - self.words.keys()))
+            get = self.words.__getitem__
+            for x, ws in own.items():
+                known[x] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
+            found = [known[x] if ids is None else ids for x, ids in zip(pieces, found)]
+        return found
+
+    def encode_many(self, texts: pa.Array) -> list[bytes]:
+        """ids of each text, little-endian 32 bits each."""
+        return encode_pieces(pc.replace_substring(texts, "\n", " "), " ", self.pieces)
 
 
 _words: dict[str, Words] = {}
 
 
-def words_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    def encode(texts: list[str]) -> list[bytes]:
+def words_encoder(path: str) -> Encoder:
+    def encode(texts: pa.Array) -> list[bytes]:
         if path not in _words:
             import os
 
@@ -107,10 +147,10 @@ def _zdict(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
 
 
-def train(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], wide: bool = False) -> bytes:
+def train(docs: DataFrame, encode: Encoder, wide: bool = False) -> bytes:
     """A dictionary from serialised ids of the SAMPLE_DOCS documents with the least hash of their id."""
     rows = id_text(docs).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
-    samples = [_narrow(x, wide) for x in encode([r.text for r in rows]) if x]
+    samples = [_narrow(x, wide) for x in encode(pa.array([r.text for r in rows], pa.string())) if x]
     if sum(map(len, samples)) < 8 * DICTIONARY_BYTES:  # too little for training: the samples themselves
         return b"".join(samples)[:DICTIONARY_BYTES]
     return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes()
@@ -148,7 +188,7 @@ def digest_of(dictionary: bytes) -> bytes:
     return hashlib.sha256(dictionary).digest() if dictionary else bytes(32)
 
 
-def write(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], end_id: int | None, dictionary: bytes, wide: bool = False) -> DataFrame:
+def write(docs: DataFrame, encode: Encoder, end_id: int | None, dictionary: bytes, wide: bool = False) -> DataFrame:
     """The containers of all documents as a stored table (shard, seq, n_tokens, container)."""
     spark = docs.sparkSession
     ship(spark)
@@ -164,9 +204,9 @@ def write(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], end_id: i
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([sum(counts)], pa.int64()), pa.array([pack(doc_ids, counts, frames, digest, wide)], pa.binary())], ["shard", "seq", "n_tokens", "container"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                for i, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                for i, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
                     ids += tail
                     doc_ids.append(i)
                     counts.append(len(ids) // 4)
@@ -204,6 +244,6 @@ def read(containers: DataFrame, dictionary: bytes) -> DataFrame:
     return docs.join(starts, ["shard", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", "seq")
 
 
-def round_trip(spark: SparkSession, docs: DataFrame, encode: Callable[[list[str]], list[bytes]], end_id: int) -> DataFrame:
+def round_trip(spark: SparkSession, docs: DataFrame, encode: Encoder, end_id: int) -> DataFrame:
     dictionary = train(docs, encode)
     return read(write(docs, encode, end_id, dictionary), dictionary)
