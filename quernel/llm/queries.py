@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import bpe, classify, flatscan, jaccard, licenses, media, mixing, quality, tokenfile
+from quernel.llm import bpe, classify, flatscan, jaccard, licenses, media, mixing, quality, substrings, tokenfile
 from quernel.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op4_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", classify.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
@@ -60,7 +64,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op4_compression_classifier": op4_compression_classifier, "op6_jaccard_join": op6_jaccard_join, "op7_transport_streams": op7_transport_streams, "op2_token_files": op2_token_files, "op3_mix": op3_mix, "op9_quality_rules": op9_quality_rules, "op8_bpe": op8_bpe, "op10_token_counts": op10_token_counts}
+    return {"op1_license_scan": op1_license_scan, "op4_compression_classifier": op4_compression_classifier, "op5_suffix_dedup": op5_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op7_transport_streams": op7_transport_streams, "op2_token_files": op2_token_files, "op3_mix": op3_mix, "op9_quality_rules": op9_quality_rules, "op8_bpe": op8_bpe, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
