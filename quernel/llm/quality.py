@@ -86,9 +86,9 @@ def _covered(windows: Column, width: int) -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The counts that rules compare."""
+    """The counts that rules compare; row holds the document as it came."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("text"), F.struct("*").alias("row"))
     words = _let(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: F.filter(w, lambda x: x != ""))
     # Without the separators a text is its words.
     bare = F.length(F.translate("text", SEPARATORS, ""))
@@ -103,19 +103,25 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.struct(F.size(w).cast("long").alias("n_words"), _let(F.transform(w, lambda x: F.xxhash64(x)), of_hashes).alias("n_repeat_words"), F.size(F.filter(w, lambda x: x.isin(stop_words()))).cast("long").alias("n_stop_words"))
 
     line_counts = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    rows = rows.select("doc_id", _let(words, repeats).alias("w"), bare.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), line_counts.alias("l"))
-    return rows.select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.n_stop_words", "l.n_lines", F.lit(1).cast("long").alias("one"))
+    rows = rows.select("doc_id", "row", _let(words, repeats).alias("w"), bare.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), line_counts.alias("l"))
+    return rows.select("doc_id", "row", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.n_stop_words", "l.n_lines", F.lit(1).cast("long").alias("one"))
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: its counts, base_failed, kept, and the rules that failed."""
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """One row for each document: its counts, base_failed, kept, and the rules that failed; with_row
+    adds the document itself as row."""
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     failed = F.array_compact(F.array(*(F.when(~r.column(), F.lit(r.name)) for r in rules)))
     rows = measures(docs, id_col, text_col)
     kept = ~base
     for r in rules:
         kept = kept & r.column()
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), kept.alias("kept"), F.concat_ws(",", failed).alias("failed_rules"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), kept.alias("kept"), F.concat_ws(",", failed).alias("failed_rules"), *(["row"] if with_row else []))
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that pass, with all their columns, in one pass over them."""
+    return judge(docs, rules, with_row=True).where("kept").select("row.*")
 
 
 def sql(rules: tuple[Rule, ...] = RULES) -> str:

@@ -33,7 +33,7 @@ def op4_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(documents(spark, sf_dir)).drop("kept")
+    return substrings.dedup(documents(spark, sf_dir)).drop("kept", "kept_text")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

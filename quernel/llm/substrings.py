@@ -371,7 +371,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((len(t), 0, 0, bytes(t)))
             n, removed, runs, kept = zip(*rows)
             digest = [hashlib.sha256(x).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), *part.columns[4:]],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", *part.schema.names[4:]],
+            )
 
 
 def spans(docs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -386,8 +389,9 @@ def spans(docs: DataFrame, prints: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(_sorted_groups, "doc_id long, spans array<long>"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for each document."""
+def dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, kept_text: kept without the
+    halves of characters cut in two) for each document, and the columns to carry along."""
     spark = docs.sparkSession
     ship(spark)
     prints = stored(fingerprints(docs))
@@ -395,5 +399,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     whole = prints.join(copies, ["key", "md5"]).select("doc_id", "whole", F.lit(None).cast("array<array<long>>").alias("spans"))
     cut = spans(docs, prints).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     info = whole.unionByName(cut.select("doc_id", F.lit(False).alias("whole"), "spans")).groupBy("doc_id").agg(F.max("whole").alias("whole"), F.first("spans", ignorenulls=True).alias("spans"))
-    rows = id_text(docs).join(info, "doc_id", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
-    return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
+    rows = texts.join(info, "doc_id", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans", *carry)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string" + more)
