@@ -1,15 +1,71 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: rules, near copies, repeated passages, the mix of sources, token ids.
+
+Each stage takes the documents that the one before kept, all of them, and its decisions take effect.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernel.llm import bpe, jaccard, mixing, quality, substrings
+from quernel.llm.common import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep(docs).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are 0.75 alike the one with the least id stays."""
+    kept = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in strings of 200 that stand elsewhere too are cut out, with characters cut in two at
+    the edges; documents with nothing left but blanks go."""
+    cut = substrings.dedup(docs, carry=("lang", "source"))
+    rows = cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
+    return rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: the whole times, and once more with a chance, fixed
+    by its id, of what is left."""
+    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    left = F.expr("(taken % size) / size") > F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    times = taken.select("doc_id", F.expr("taken div size").alias("whole"), left.alias("more")).select("doc_id", (F.col("whole") + F.col("more").cast("long")).alias("times")).where("times > 0")
+    return docs.select(*COLUMNS).join(times, "doc_id").select(*COLUMNS, F.explode(F.expr("array_repeat(1, cast(times as int))")).alias("_one")).drop("_one")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' byte-level BPE ids."""
+    import public_tokenizers
+
+    rows = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc_id", "n_tokens", "ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources", mixed),
+    ("BPE encoding", token_ids),
+]
 
-STAGES: list = []
+#: BPE is beyond SQL; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs)
     return docs
