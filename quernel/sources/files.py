@@ -62,12 +62,25 @@ def _rows(raw: DataFrame) -> DataFrame:
 
 def read_folder(spark: SparkSession, root: str, repo_id: str = "repo") -> DataFrame:
     """All files below a folder of any file system that Spark reads."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    # Spark's file index leaves out empty files; their names come from the listing.
+    empty = spark.createDataFrame([(p, b"") for p in _empty_files(spark, root)], "path string, content binary")
+    raw = raw.unionByName(empty)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     inner = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit("^.*?" + _quoted(base) + "/"), F.lit(""))
     return _rows(raw.select(F.lit(repo_id).alias("repo_id"), inner.alias("path"), "content"))
 
 
+def _empty_files(spark: SparkSession, root: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            out.append(f.getPath().toString())
+    return out
+
+
 def _quoted(s: str) -> str:
     return "".join(c if c.isalnum() or c in "/_" else "\\" + c for c in s)
 
