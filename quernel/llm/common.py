@@ -1,13 +1,8 @@
-"""What the operators share: tables in the shared folder, code on the executors, Arrow helpers."""
+"""What the operators share: the documents table and Arrow helpers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,48 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts to the ids of each, little-endian 32 bits.
-Encoder = Callable[[pa.Array], list[bytes]]
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = os.path.join(tempfile.mkdtemp(), "quernel_code.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent).as_posix())
-    sc.addPyFile(out)
-    _shipped.add(sc.applicationId)
+from quernel.plans.shared import ship, shared_dir, stored
 
+__all__ = ["Encoder", "documents", "encode_pieces", "id_text", "parts", "raw", "shared_dir", "ship", "stored"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir.
-
-    Where that is unset, as in tests, a local session gets a temporary one of its own; a cluster
-    session gets an error, since its executors would not see a local folder.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quernel.shared.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = f"file://{tempfile.mkdtemp(prefix='quernel-')}"
-        spark.conf.set("quernel.shared.dir", top)
-    return f"{top.rstrip('/')}/quernel/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of df written once to the shared folder: later steps re-read them instead of
-    computing them again, and a lost executor loses none of them."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Texts to the ids of each, little-endian 32 bits.
+Encoder = Callable[[pa.Array], list[bytes]]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
