@@ -36,15 +36,25 @@ class Model:
     def __init__(self, good: list[bytes], bad: list[bytes], share: float | None):
         """share: of good labels among all."""
         self.share = 0.5 if share is None else share
-        # Even texts make the dictionaries, odd ones fit the curve.
-        self.dictionaries = [_train(x[::2]) for x in (good, bad)]
         self.a, self.b = 0.0, _logit(self.share)
-        rest = [x[1::2] or x for x in (good, bad)]
         if good and bad:
-            x = np.array([self.difference(t) for part in rest for t in part])
-            y = np.repeat([1.0, 0.0], [len(r) for r in rest])
-            w = np.repeat([self.share / len(rest[0]), (1 - self.share) / len(rest[1])], [len(r) for r in rest]) * len(x)
-            self.a, self.b = _logistic(x, y, w)
+            # The curve is fitted on differences from dictionaries made without the text: each half's
+            # texts by the other half's dictionaries, or by all where a half would be empty.
+            x, y, w = [], [], []
+            for k in (0, 1):
+                self._use([_train(t[k::2] or t) for t in (good, bad)])
+                for label, texts, part in ((1.0, good, self.share), (0.0, bad, 1 - self.share)):
+                    own = texts[1 - k :: 2] or (texts if k == 0 else [])
+                    x += map(self.difference, own)
+                    y += [label] * len(own)
+                    w += [part / len(texts)] * len(own)
+            w = np.array(w)
+            self.a, self.b = _logistic(np.array(x), np.array(y), w / w.mean())
+        self._use([_train(x) for x in (good, bad)])
+
+    def _use(self, dictionaries: list[bytes]) -> None:
+        self.dictionaries = dictionaries
+        self.__dict__.pop("_packers", None)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_packers"}
