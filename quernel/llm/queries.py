@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": mixing.sql(), "op9_quality_rules": quality.sql()}
+    return {"op3_mix": mixing.sql(), "op6_jaccard_join": jaccard.sql(), "op9_quality_rules": quality.sql()}
