@@ -14,6 +14,8 @@ from quernel.functions.lexical import n_lines
 
 COLUMNS = ("repo_id", "file", "ord", "seq", "type", "severity", "message", "count")
 
+# Types, severities and messages of findings are fixed values that reports depend on.
+
 #: Our own rules for secrets in public formats: type, severity, pattern for both Java and RE2.
 SECRET_RULES = (
     ("Hardcoded Password", "Critical", r"(?i)(?:password|passwd|pwd)[ \t]*=[ \t]*[\"'][^\"'\n]+[\"']"),
@@ -113,7 +115,7 @@ def architecture(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
 def added_lines(diffs: DataFrame, fixed: bool = False) -> DataFrame:
     """(repo_id, path, ext, text): the lines that diffs (id, diff) add, without the mark. fixed drops
     a blank after the mark where all added lines have one."""
-    lines = F.filter(F.split("diff", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: x.startswith("+") & ~x.startswith("+++"))
+    lines = F.filter(F.split("diff", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: x.startswith("+") & ~x.startswith("+++"))
     rows = diffs.withColumn("_l", F.transform(lines, lambda x: F.substr(x, F.lit(2))))
     if fixed:
         rows = rows.withColumn("_l", F.when(F.forall("_l", lambda x: x.startswith(" ") | (x == "")), F.transform("_l", lambda x: F.when(x == "", x).otherwise(F.substr(x, F.lit(2))))).otherwise(F.col("_l")))

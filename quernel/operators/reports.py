@@ -1,4 +1,4 @@
-"""Texts made of findings and scores; sinks write them."""
+"""Texts made of findings and scores; sinks write them. Their wording and layout are fixed values."""
 
 from __future__ import annotations
 
