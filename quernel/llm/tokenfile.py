@@ -238,9 +238,12 @@ def read(containers: DataFrame, dictionary: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(n), pa.int32()), pa.array([seq] * len(n), pa.int32()), pa.array(box.doc_ids.astype(np.int64)), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["shard", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     docs = containers.select("shard", "seq", "container").mapInArrow(run, "shard int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    # One row for each container, some MB of frames: few enough for one task.
-    before = Window.orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = containers.select("shard", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    # Sums within a shard, then over the shards, of which there are as many as partitions.
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = containers.select("shard", "seq", "n_tokens")
+    shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(upto(Window.orderBy("shard"))), F.lit(0)).alias("before"))
+    inner = F.coalesce(F.sum("n_tokens").over(upto(Window.partitionBy("shard").orderBy("seq"))), F.lit(0))
+    starts = sizes.withColumn("inner", inner).join(shards, "shard").select("shard", "seq", (F.col("before") + F.col("inner")).alias("base"))
     return docs.join(starts, ["shard", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", "seq")
 
 
