@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from quernel.llm.common import Encoder, encode_pieces, id_text, ship
+from quernel.llm.common import Encoder, encode_pieces, id_text, ship, tidy
 
 #: Fixed value: how the byte-level scheme cuts a text into pretokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,7 +32,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: cut by PRETOKEN alone.
 ODD = "[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  |\\n \\n|\\A | \\z"
 #: Entries of each worker's table of known chunks and of known pretokens.
-KNOWN = 400_000
+KNOWN = 250_000
 _NEVER = 1 << 40
 _NONE = (_NEVER, 0)
 
@@ -269,19 +269,20 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens long, ids binary: little-endian 32-bit, decoded string) for each row of docs."""
+def encode_documents(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
+    """(doc_id, n_tokens long, ids binary: little-endian 32-bit, decoded string) for each row of docs;
+    decoded is null where it isn't asked for."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
                 ids = bpe.encode_many(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x).decode() for x in ids], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x).decode() if decode else None for x in ids], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -293,11 +294,11 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         bpe = load(path)
         for batch in batches:
             n, a, b = [], [], []
-            for k in range(0, batch.num_rows, 2000):
-                for ids in bpe.encode_many(batch.column(1).slice(k, 2000)):
+            for k in range(0, batch.num_rows, 500):
+                for ids in bpe.encode_many(batch.column(1).slice(k, 500)):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import id_text, raw, ship
+from quernel.llm.common import id_text, raw, ship, tidy
 
 #: Bounds of the fit: texts of each label, and bytes of each.
 SAMPLE, SAMPLE_BYTES = 2000, 4096
@@ -127,4 +127,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([model.difference(t) for t in raw(batch.column(1))], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(model.score(x))], ["doc_id", "difference", "score"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, difference double, score double")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, difference double, score double")

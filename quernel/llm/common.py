@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quernel.plans.shared import ship, shared_dir, stored
 
-__all__ = ["Encoder", "documents", "encode_pieces", "id_text", "parts", "raw", "shared_dir", "ship", "stored"]
+__all__ = ["Encoder", "documents", "encode_pieces", "id_text", "parts", "raw", "shared_dir", "ship", "stored", "tidy"]
 
 #: Texts to the ids of each, little-endian 32 bits.
 Encoder = Callable[[pa.Array], list[bytes]]
@@ -32,6 +33,19 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and then what it freed goes back to the system: workers live on for other tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def raw(column: pa.Array) -> list[memoryview]:
     """A string or binary column as buffers, without a copy; null is empty."""
     if len(column) == 0:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import Encoder, id_text, ship, stored
+from quernel.llm.common import Encoder, id_text, ship, stored, tidy
 
 BLOCK_BYTES = 1 << 20
 
@@ -43,8 +43,8 @@ def write_flat(docs: DataFrame, encode: Encoder, end_id: int, dtype: str = "<u2"
             )
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
                 data = rest + b"".join(np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in encode(part.column(1)))
                 whole = len(data) // block_bytes
                 yield rows([data[i * block_bytes : (i + 1) * block_bytes] for i in range(whole)], ordinal, part.column(0).to_numpy(zero_copy_only=False))
@@ -52,7 +52,7 @@ def write_flat(docs: DataFrame, encode: Encoder, end_id: int, dtype: str = "<u2"
         if rest:
             yield rows([rest], 0, None)
 
-    table = stored(id_text(docs.where(F.col("doc_id").isNotNull())).mapInArrow(run, "file_id int, block long, data binary, first long, doc_ids array<long>"))
+    table = stored(id_text(docs.where(F.col("doc_id").isNotNull())).mapInArrow(tidy(run), "file_id int, block long, data binary, first long, doc_ids array<long>"))
     blocks = table.where("block >= 0").select("file_id", "block", "data")
     ids = table.where("block < 0").select("file_id", "first", F.posexplode("doc_ids").alias("k", "doc_id"))
     return blocks, ids.select("file_id", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
@@ -68,7 +68,7 @@ def read_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -
                 for k in range(0, len(data), block_bytes):
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // block_bytes], pa.int64()), pa.array([data[k : k + block_bytes]], pa.binary())], ["file_id", "block", "data"])
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, "file_id string, block long, data binary")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(tidy(run), "file_id string, block long, data binary")
 
 
 def scan(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFrame:
@@ -86,7 +86,7 @@ def scan(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([len(ids)], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int32()))], ["file_id", "block", "n", "seps"])
 
     # Only the separators' places are kept, some bytes for each document.
-    found = stored(blocks.select("file_id", "block", "data").mapInArrow(run, f"file_id {kind}, block long, n long, seps array<int>"))
+    found = stored(blocks.select("file_id", "block", "data").mapInArrow(tidy(run), f"file_id {kind}, block long, n long, seps array<int>"))
     w = Window.partitionBy("file_id").orderBy("block")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     last = F.when(F.size("seps") > 0, F.col("base") + F.element_at("seps", -1))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import id_text, parts, raw, ship, stored
+from quernel.llm.common import id_text, parts, raw, ship, stored, tidy
 from quernel.llm.components import components
 from quernel.llm.textkernel import shingle_set
 
@@ -59,7 +59,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 key.append(_fingerprint(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())], ["doc_id", "n", "key"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n long, key long")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, n long, key long")
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
@@ -106,8 +106,8 @@ def shared_counts(docs: DataFrame) -> DataFrame:
             some = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(out[some])], ["key", "shared"])
 
-    dealt = id_text(docs).select("doc_id", "text").mapInArrow(deal, "bucket int, keys binary, counts binary, hashes binary")
-    return dealt.repartition(parts(spark), "bucket").mapInArrow(count, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    dealt = id_text(docs).select("doc_id", "text").mapInArrow(tidy(deal), "bucket int, keys binary, counts binary, hashes binary")
+    return dealt.repartition(parts(spark), "bucket").mapInArrow(tidy(count), "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -238,7 +238,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 keys = [[int((s * f).min() >> np.uint64(1)) ^ p << 56 for p, f in enumerate(_FACTORS)] for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "shingles", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, shingles binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "id long, n long, shingles binary, keys array<long>")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def join(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("own", F.expr("pmod(xxhash64(id), chunks)")).withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
         rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "comp", "id")
         rows = rows.join(sets.select("id", "shingles"), "id").select("key", "i", "j", "comp", "shingles")
-        found = rows.repartition(parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_match, "a long, b long")
+        found = rows.repartition(parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(_match), "a long, b long")
         edges = found if edges is None else found.union(edges)
         edges = stored(edges)
         known = components(edges)

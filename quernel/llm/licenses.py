@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quernel.llm.common import id_text, raw, ship
+from quernel.llm.common import id_text, raw, ship, tidy
 from quernel.llm.textkernel import _mark, shingles, word_hashes
 
 BANDS, THRESHOLD, WIDTH = 32, 0.75, 5
@@ -149,4 +149,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                 ["doc_id", "n_matches", "best_template", "best_containment", "matches"],
             )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_matches int, best_template string, best_containment double, matches array<struct<template: string, containment: double, first_word: long, n_words: long>>")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, n_matches int, best_template string, best_containment double, matches array<struct<template: string, containment: double, first_word: long, n_words: long>>")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quernel.llm.common import id_text, raw, ship, stored
+from quernel.llm.common import id_text, raw, ship, stored, tidy
 
 #: Fixed values of the format.
 PACKET, SYNC, PAT_PID, STREAM_ID, PRIVATE_TYPE = 188, 0x47, 0, 0xBD, 0x06
@@ -192,7 +192,7 @@ def write(docs: DataFrame) -> DataFrame:
                 texts = raw(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([mux(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return stored(id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary"))
+    return stored(id_text(docs).mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary"))
 
 
 def read(media: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def read(media: DataFrame) -> DataFrame:
                 units = [[{"pts": a, "at": b, "random_access": c} for a, b, c in zip(p.tolist(), o.tolist(), r.tolist())] for _, p, o, r, _ in got]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array(units, kind), pa.array([g[4]["packets"] for g in got], pa.int64()), pa.array([g[4]["lost"] for g in got], pa.int64())], ["doc_id", "payload", "units", "packets", "lost"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, payload binary, units array<struct<pts: long, at: long, random_access: boolean>>, packets long, lost long")
+    return media.select("doc_id", "media").mapInArrow(tidy(run), "doc_id long, payload binary, units array<struct<pts: long, at: long, random_access: boolean>>, packets long, lost long")
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -227,4 +227,4 @@ def features(media: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import id_text, parts, raw, ship, stored
+from quernel.llm.common import id_text, parts, raw, ship, stored, tidy
 from quernel.llm.textkernel import mix, powers
 
 SPAN, GRAM = 200, 100
@@ -99,7 +99,7 @@ def _deal(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "keys", "counts", "hashes", "places"])
 
     rows = id_text(docs).select(F.xxhash64("text").alias("key"), "text").where(F.octet_length("text") >= SPAN)
-    return rows.mapInArrow(run, "bucket int, keys binary, counts binary, hashes binary, places binary")
+    return rows.mapInArrow(tidy(run), "bucket int, keys binary, counts binary, hashes binary, places binary")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,13 +380,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(doc_id, spans): the repeated windows of documents, one for each distinct text."""
     spark = docs.sparkSession
-    found = _deal(docs).repartition(parts(spark), "bucket").mapInArrow(_repeated, "key long, places binary, sizes binary")
+    found = _deal(docs).repartition(parts(spark), "bucket").mapInArrow(tidy(_repeated), "key long, places binary, sizes binary")
     names = prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = found.groupBy("key").agg(F.collect_list("places").alias("places"), F.collect_list("sizes").alias("sizes")).join(names, "key").select("doc_id", "places", "sizes")
     texts = id_text(docs).join(wanted, "doc_id").select("doc_id", "text", "places", "sizes")
-    rows = texts.mapInArrow(_contexts, "h long, i int, j int, doc_id long, lo long, p int, context binary")
+    rows = texts.mapInArrow(tidy(_contexts), "h long, i int, j int, doc_id long, lo long, p int, context binary")
     rows = rows.repartition(parts(spark), "h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return stored(rows.mapInArrow(_sorted_groups, "doc_id long, spans array<long>"))
+    return stored(rows.mapInArrow(tidy(_sorted_groups), "doc_id long, spans array<long>"))
 
 
 def dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -402,4 +402,4 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     rows = texts.join(info, "doc_id", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans", *carry)
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string" + more)
+    return rows.mapInArrow(tidy(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string" + more)

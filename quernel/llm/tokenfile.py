@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import Encoder, encode_pieces, id_text, parts, ship, stored
+from quernel.llm.common import Encoder, encode_pieces, id_text, parts, ship, stored, tidy
 
 MAGIC = b"QTOK0001"
 #: Bound of the sample that the dictionary is trained on: documents, and characters of each.
@@ -220,7 +220,7 @@ def write(docs: DataFrame, encode: Encoder, end_id: int | None, dictionary: byte
 
     rows = id_text(docs.where(F.col("doc_id").isNotNull()))
     rows = rows.repartitionByRange(parts(spark), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return stored(rows.mapInArrow(run, "shard int, seq int, n_tokens long, container binary"))
+    return stored(rows.mapInArrow(tidy(run), "shard int, seq int, n_tokens long, container binary"))
 
 
 def read(containers: DataFrame, dictionary: bytes) -> DataFrame:
@@ -237,7 +237,7 @@ def read(containers: DataFrame, dictionary: bytes) -> DataFrame:
                 start = np.cumsum([0, *n[:-1]])
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(n), pa.int32()), pa.array([seq] * len(n), pa.int32()), pa.array(box.doc_ids.astype(np.int64)), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["shard", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    docs = containers.select("shard", "seq", "container").mapInArrow(run, "shard int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = containers.select("shard", "seq", "container").mapInArrow(tidy(run), "shard int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # Sums within a shard, then over the shards, of which there are as many as partitions.
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     sizes = containers.select("shard", "seq", "n_tokens")
