@@ -46,7 +46,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' byte-level BPE ids."""
     import public_tokenizers
 
-    rows = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=False)
     return rows.select("doc_id", "n_tokens", "ids")
 
 
