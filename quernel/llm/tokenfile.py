@@ -149,7 +149,10 @@ def _zdict(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def train(docs: DataFrame, encode: Encoder, wide: bool = False) -> bytes:
     """A dictionary from serialised ids of the SAMPLE_DOCS documents with the least hash of their id."""
-    rows = id_text(docs).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    # The ids first, which are small to sort; at most SAMPLE_DOCS of them are broadcast.
+    chosen = id_text(docs).select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    rows = id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: r.doc_id)
     samples = [_narrow(x, wide) for x in encode(pa.array([r.text for r in rows], pa.string())) if x]
     if sum(map(len, samples)) < 8 * DICTIONARY_BYTES:  # too little for training: the samples themselves
         return b"".join(samples)[:DICTIONARY_BYTES]
