@@ -43,11 +43,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' byte-level BPE ids."""
+    """The documents' byte-level BPE ids, and the texts that these decode to."""
     import public_tokenizers
 
-    rows = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=False)
-    return rows.select("doc_id", "n_tokens", "ids")
+    rows = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc_id", "n_tokens", "ids", "decoded")
 
 
 STAGES = [

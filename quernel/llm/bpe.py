@@ -33,6 +33,8 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 ODD = "[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  |\\n \\n|\\A | \\z"
 #: Entries of each worker's table of known chunks and of known pretokens.
 KNOWN = 250_000
+#: Rows and bytes of text, about, that are encoded and decoded at a time; a longer text goes alone.
+SLICE_ROWS, SLICE_BYTES = 500, 1 << 20
 _NEVER = 1 << 40
 _NONE = (_NEVER, 0)
 
@@ -269,6 +271,19 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows whose texts, in its second column, are SLICE_BYTES at most together."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).tolist()
+    begin = held = 0
+    for i, n in enumerate(size):
+        if i > begin and (held + n > SLICE_BYTES or i - begin == SLICE_ROWS):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < len(size):
+        yield batch.slice(begin)
+
+
 def encode_documents(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
     """(doc_id, n_tokens long, ids binary: little-endian 32-bit, decoded string) for each row of docs;
     decoded is null where it isn't asked for."""
@@ -277,10 +292,9 @@ def encode_documents(docs: DataFrame, path: str, decode: bool = True) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for part in slices(batch):
                 ids = bpe.encode_many(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x).decode() if decode else None for x in ids], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) if decode else None for x in ids], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return id_text(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary, decoded string")
 

@@ -55,3 +55,21 @@ def test_stages(spark, tmp_path):
     assert all(r.n_tokens == len(np.frombuffer(bytes(r.ids), "<u4")) for r in out["BPE encoding"])
     # run() does the same.
     assert pipeline.run(spark, str(tmp_path)).count() == sum(want.values())
+
+
+def test_last_stage_decodes(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 64)
+    texts = {1: "plain words here", 2: "é漢字😀 \t odd", 3: "<|endoftext|> tail", 4: "long " * 300, 5: ""}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {r.doc_id: r.decoded for r in rows} == texts and len(rows) == len(texts)
+
+
+def test_slices_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 10)
+    monkeypatch.setattr(bpe, "SLICE_ROWS", 3)
+    texts = ["a" * 4, "b" * 4, "c" * 4, "d" * 40, None, "", "e", "f", "é" * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    got = [p.column(1).to_pylist() for p in bpe.slices(batch)]
+    assert sum(got, []) == texts and all(len(g) == 1 or len(g) <= 3 and sum(len((t or "").encode()) for t in g) <= 10 for g in got)
+    assert list(bpe.slices(batch.slice(0, 0))) == []
