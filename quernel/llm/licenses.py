@@ -5,10 +5,11 @@ words. A template of t shingles is sought in windows that overlap so that any pl
 stand lies within one; windows follow the template's length, so where three quarters of it stand,
 window and template have a Jaccard similarity of 0.41 or more, and the 32 bands of one hash miss it
 with a probability below 1e-7. A window that meets a template in any band is verified: the
-containment of the template's shingles in it must be 0.75 or more.
+containment of the template's shingles in it must be 0.75 or more. A template of fewer than five
+words is sought as a whole, in windows of its own length, and must stand there word for word.
 
-One row for each document, in any order; null and empty texts, and those of fewer than five words,
-match nothing. Of several windows the fullest, then the first, stands for a template; of several
+One row for each document, in any order; null and empty texts match nothing, and those of fewer than
+five words only templates that are as short. Of several windows the fullest, then the first, stands for a template; of several
 templates the fullest, then the longest, then the first by name, is the best. Templates are
 broadcast with the code: their number is bounded by MOST_TEMPLATES, and more are refused.
 """
@@ -38,6 +39,7 @@ TEMPLATES = {
     "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "all-rights-reserved-line": "No part of this publication may be reproduced without the prior written permission of the publisher.",
+    "all-rights-reserved": "All rights reserved.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -80,12 +82,22 @@ class Scanner:
         if len(templates) > MOST_TEMPLATES:
             raise ValueError(f"at most {MOST_TEMPLATES} templates")
         self.names = sorted(templates)
-        self.sets, self.classes, self.class_of = [], {}, []
+        self.sets, self.classes, self.class_of, self.length = [], {}, [], []
+        # Of templates below WIDTH words: by width, and by the hash of the whole, their words.
+        self.short: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = defaultdict(lambda: defaultdict(list))
         self.filter = np.zeros(BANDS << 16, bool)
         self.at: dict[tuple[int, int], list[int]] = defaultdict(list)
         for j, name in enumerate(self.names):
-            h = shingles(word_hashes(templates[name].encode(), _mark), WIDTH)
+            words = word_hashes(templates[name].encode(), _mark)
+            if not len(words):
+                raise ValueError(f"no words in template {name}")
+            h = shingles(words, min(WIDTH, len(words)))
             self.sets.append(np.unique(h))
+            self.length.append(len(self.sets[j]) + min(0, len(words) - WIDTH))
+            if len(words) < WIDTH:
+                self.class_of.append(None)
+                self.short[len(words)][int(h[0])].append((j, words))
+                continue
             t = most = len(h)
             if t > 7:  # lengths within a quarter share their windows
                 most = 8
@@ -111,12 +123,24 @@ class Scanner:
                 found.update((w, j) for w in self.class_of[j].meeting(rows[band], i))
         return found
 
+    def whole(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
+        """The first place of each template below WIDTH words."""
+        found = {}
+        for width, known in self.short.items():
+            if len(words) < width:
+                continue
+            h = shingles(words, width)
+            for i in np.flatnonzero(np.isin(h, np.array([*known], np.uint64))).tolist():
+                for j, t in known[int(h[i])]:
+                    if j not in found and np.array_equal(words[i : i + width], t):
+                        found[j] = (-1.0, i, width)
+        return found
+
     def scan(self, data: memoryview | bytes) -> list[tuple[int, float, int, int]]:
         """(template, containment, first word, words) of each template found."""
         words = word_hashes(data, _mark)
-        if len(words) < WIDTH:
-            return []
-        h, best = shingles(words, WIDTH), {}
+        best = self.whole(words)
+        h = shingles(words, WIDTH) if len(words) >= WIDTH else words[:0]
         for at in range(0, len(h), SEGMENT):
             part = h[at : at + SEGMENT + self.longest]
             for w, j in self.candidates(_rows(part)):
@@ -143,7 +167,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         scanner = Scanner(templates)
         for batch in batches:
             found = [scanner.scan(t) for t in raw(batch.column(1))]
-            best = [max(f, key=lambda x: (x[1], len(scanner.sets[x[0]]), -x[0]), default=None) for f in found]
+            best = [max(f, key=lambda x: (x[1], scanner.length[x[0]], -x[0]), default=None) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(f) for f in found], pa.int32()), pa.array([scanner.names[b[0]] if b else None for b in best], pa.string()), pa.array([b[1] if b else None for b in best], pa.float64()), pa.array([[{"template": scanner.names[j], "containment": c, "first_word": a, "n_words": n} for j, c, a, n in f] for f in found], kind)],
                 ["doc_id", "n_matches", "best_template", "best_containment", "matches"],

@@ -50,6 +50,20 @@ def test_scan_across_segments(monkeypatch):
         assert found[1] == 1.0 and found[2] == 3 * pad
 
 
+def test_templates_below_a_shingle(spark):
+    rng = random.Random(6)
+    filler = lambda n: " ".join(f"f{rng.randrange(999)}" for _ in range(n))
+    texts = [f"{filler(3000)} Copyright. ALL rights\nreserved! {filler(2000)}", "All rights reserved.", f"{filler(50)} all rights are reserved {filler(50)}", "rights reserved", f"{filler(9)} Released under the MIT License. All rights reserved."]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [[m.template for m in got[i].matches] for i in range(5)] == [["all-rights-reserved"], ["all-rights-reserved"], [], [], ["all-rights-reserved", "mit-line"]]
+    assert (got[0].matches[0].containment, got[0].matches[0].first_word, got[0].matches[0].n_words) == (1.0, 3001, 3)
+    assert got[4].best_template == "mit-line"
+    scanner = licenses.Scanner({str(n): " ".join("abcdef"[:n]) for n in range(1, 7)})
+    assert [scanner.names[j] for j, *_ in scanner.scan(b"x x a b c d x")] == ["1", "2", "3", "4"]
+    with pytest.raises(ValueError, match="no words"):
+        licenses.Scanner({"blank": " . "})
+
+
 def test_too_many_templates():
     with pytest.raises(ValueError, match="at most"):
         licenses.Scanner({str(i): "a b c d e f" for i in range(licenses.MOST_TEMPLATES + 1)})
