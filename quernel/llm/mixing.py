@@ -5,7 +5,9 @@ goes to the others by weight. Sainte-Lague apportionment then gives each source
 equal blocks of words: the blocks go to the highest quotients target / (2 seat - 1). A source's
 documents are dealt to shards of bounded size and stand there in seeded order as one stream; the
 source's blocks are apportioned to its shards the same way, and within a shard each block is taken
-the same number of times, the rest by seeded order of blocks.
+the same number of times, the rest by seeded order of blocks. A source of less than FEW blocks is
+small: its blocks are a FEWth of its own size, it takes as many of them as its target asks for, and
+the others share what is left.
 
 Sizes, hashes and quotas are functions of the rows, so reruns agree. Null and empty texts have size
 0 and are taken 0 times. Null is a source of its own, the last. Rows that repeat a document id are
@@ -26,6 +28,8 @@ WEIGHTS = (3, 1, 2)
 SHARD_WORDS = 200_000
 #: Blocks are total / BLOCKS words long, within LEAST and MOST.
 BLOCKS, LEAST, MOST = 200_000, 64, 4096
+#: Sources of less than so many blocks have blocks of their own length.
+FEW = 32
 SEED = 17
 
 
@@ -35,7 +39,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """A row for each source: k (its rank), source_size, weight, target, total, block."""
+    """A row for each source: k (its rank), source_size, weight, target, total, block, small."""
     by = Window.orderBy(F.col("source").asc_nulls_last())
     src = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     src = src.withColumn("k", F.row_number().over(by))
@@ -52,7 +56,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     rate = F.min_by(F.when(~F.col("full"), F.col("rate")), F.when(~F.col("full"), F.col("pos"))).over(every)
     src = src.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * rate))
     block = F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.floor(F.col("total") / BLOCKS))).cast("long")
-    return src.select("source", "k", "source_size", "weight", "target", "total", block.alias("block"))
+    small = (F.col("source_size") > 0) & (F.col("source_size") < FEW * block)
+    own = F.when(small, F.greatest(F.lit(1), F.floor(F.col("source_size") / FEW))).otherwise(block).cast("long")
+    return src.select("source", "k", "source_size", "weight", "target", "total", own.alias("block"), small.alias("small"))
 
 
 def apportion(rows: DataFrame, group: list[str], key: str, weight: str, seats: str) -> DataFrame:
@@ -92,8 +98,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     lengths = sized.join(src.select(F.col("source").alias("_s"), "k", "source_size", "block"), F.col("source").eqNullSafe(F.col("_s")))
     lengths = lengths.withColumn("shard", F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % shards)
     lengths = lengths.groupBy("k", "shard", "block").agg(F.sum("size").alias("length")).where("length > 0")
-    won = apportion(src.withColumn("seats", F.round(F.col("total") * share / F.col("block")).cast("long")), [], "k", "target", "seats")
+    apart = F.coalesce(F.sum(F.when(F.col("small"), F.col("target"))).over(Window.partitionBy()), F.lit(0.0))
+    seats = F.round((F.col("total") * share - apart) / F.col("block")).cast("long")
+    won = apportion(src.withColumn("seats", seats).where("NOT small"), [], "k", "target", "seats")
     won = won.select("k", F.least(F.col("won"), F.floor(F.col("source_size") * most / F.col("block"))).alias("seats"))
+    # The target as a share of the source's blocks: what is to be taken twice is taken so to the last word.
+    own = F.round(F.col("target") * F.ceil(F.col("source_size") / F.col("block")) / F.col("source_size")).cast("long")
+    won = won.unionByName(src.where("small").select("k", own.alias("seats")))
     quota = apportion(lengths.join(won, "k"), ["k"], "shard", "length", "seats")
     n = F.ceil(F.col("length") / F.col("block"))
     quota = quota.withColumn("n", n).withColumn("q", F.least(F.col("won"), (n * F.lit(most)).cast("long")))

@@ -111,6 +111,26 @@ def test_sources_come_near_their_targets(spark):
     assert all(abs(taken[s] / target[s] - 1) < 0.01 for s in target)
 
 
+def test_tiny_sources_beside_a_huge_one(spark, monkeypatch):
+    sizes = {"a": 2_000_000, "b": 1, "c": 31, "d": 64, "e": 5000, "f": 2000, "g": 90_000}
+    rows, rng = [], random.Random(9)
+    for s, n in sizes.items():
+        while n:
+            k = min(n, rng.randint(1, 20 + n // 20))
+            rows.append((len(rows), "w " * k, s))
+            n -= k
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for least in (64, 4096):  # as of a small corpus, and of a very large one
+        monkeypatch.setattr(mixing, "LEAST", least)
+        for share in (1.5, 0.3):
+            taken, target = collections.Counter(), {}
+            for r in mixing.mix(df, share=share).collect():
+                assert 0 <= r.taken <= 2 * r.size
+                taken[rows[r.doc_id][2]] += r.taken
+                target[rows[r.doc_id][2]] = r.target
+            assert all(abs(taken[s] - target[s]) <= max(0.04 * target[s], 1) for s in sizes), (least, share, taken, target)
+
+
 def test_repeated_ids_are_taken_apart(spark):
     df = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x"), (1, None, "x"), (None, "a", None)], "doc_id long, text string, source string")
     rows = mixing.mix(df).collect()
