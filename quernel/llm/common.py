@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quernel.plans.shared import ship, shared_dir, stored
 
-__all__ = ["Encoder", "documents", "encode_pieces", "id_text", "parts", "raw", "shared_dir", "ship", "stored", "tidy"]
+__all__ = ["Encoder", "documents", "encode_pieces", "id_text", "parts", "raw", "shared_dir", "runs", "ship", "slices", "spread", "stored", "tidy"]
 
 #: Texts to the ids of each, little-endian 32 bits.
 Encoder = Callable[[pa.Array], list[bytes]]
@@ -59,6 +59,21 @@ def raw(column: pa.Array) -> list[memoryview]:
     return [data[at[i] : at[i + 1]] if valid is None or valid[i] else data[:0] for i in range(len(at) - 1)]
 
 
+def spread(piece: np.ndarray, ids: list[bytes], cuts: np.ndarray) -> list[bytes]:
+    """The ids of runs of pieces: ids holds those of each distinct piece, piece the distinct one at each
+    place, cuts the bounds of the runs."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begin = np.cumsum(size) - size
+    n = size[piece]
+    ends = np.cumsum(n)
+    place = np.repeat(begin[piece] - (ends - n), n)
+    place += np.arange(len(place))
+    data = flat[place].tobytes()
+    cut = np.concatenate([[0], ends])[cuts] * 4
+    return [data[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
 def encode_pieces(texts: pa.Array, at: str, lookup: Callable[[list[str]], list[bytes]]) -> list[bytes]:
     """Each text's ids (little-endian 32 bits) as those of its pieces between the character at.
 
@@ -69,15 +84,24 @@ def encode_pieces(texts: pa.Array, at: str, lookup: Callable[[list[str]], list[b
         return []
     lists = pc.split_pattern(texts, at)
     coded = lists.flatten().dictionary_encode()
-    ids = lookup(coded.dictionary.to_pylist())
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    begin = np.cumsum(size) - size
-    piece = coded.indices.to_numpy()
-    n = size[piece]
-    ends = np.cumsum(n)
-    place = np.repeat(begin[piece] - (ends - n), n)
-    place += np.arange(len(place))
-    data = flat[place].tobytes()
-    cut = np.concatenate([[0], ends])[np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy()]))] * 4
-    return [data[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    cuts = np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy()]))
+    return spread(coded.indices.to_numpy(), lookup(coded.dictionary.to_pylist()), cuts)
+
+
+def runs(size: list[int], rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of at most rows items whose sizes are at most `most` together; a larger item is alone."""
+    begin = held = 0
+    for i, n in enumerate(size):
+        if i > begin and (held + n > most or i - begin == rows):
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if begin < len(size):
+        yield begin, len(size)
+
+
+def slices(batch: pa.RecordBatch, rows: int = 500, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows whose texts, in its second column, are `most` bytes at most together."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).tolist()
+    for i, j in runs(size, rows, most):
+        yield batch.slice(i, j - i)

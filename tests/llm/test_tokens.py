@@ -89,6 +89,38 @@ def test_repeated_ids_and_many_containers(spark, monkeypatch):
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
 
 
+def test_null_ids_come_first_and_stay_null(spark):
+    rows = [(None, "b"), (-(1 << 63), "x y"), (None, "a"), (0, "c"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = tokenfile.round_trip(spark, df, tokenfile.words_encoder(WORD), 1).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, None, -(1 << 63), 0]
+    assert sorted(r.n_tokens for r in got[:3]) == [1, 2, 2] and [r.n_tokens for r in got[3:]] == [3, 2]
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    monkeypatch.setattr(tokenfile, "PIECE", 20)
+    monkeypatch.setattr(tokenfile, "BATCH", 50)
+    texts = [" ".join(odd_texts()[i : i + 30]) for i in range(0, 1500, 30)]
+    want = [e.ids for e in library(WORD).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokenfile.words_encoder(WORD)(pa.array(texts))] == want
+
+
+def test_contractions_as_the_library_cuts_them():
+    texts = ["don't", "we'll've", "''s", "\"'s", "'s's", "a'", "'re1", "'dd", "I'LL", "x'm'", "'", "3's", "é's", "'l", "'v", "'r e"]
+    want = [e.ids for e in library(WORD).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokenfile.words_encoder(WORD)(pa.array(texts))] == want
+
+
+def test_the_sample_reaches_the_end_of_long_texts(spark):
+    encode = tokenfile.words_encoder(WORD)
+    text = "head " * 40_000 + "tail " * 2000
+    df = spark.createDataFrame([(1, text), (1, text), (2, "short"), (None, "none")], "doc_id long, text string")
+    tail = encode(pa.array(["tail"]))[0][:2]
+    samples = tokenfile._samples(df, encode, False)
+    assert len(samples) == tokenfile.SAMPLE_RUNS + 1 and max(map(len, samples)) == tokenfile.RUN_BYTES
+    assert any(tail in x for x in samples)
+
+
 def test_containers_refuse_another_dictionary():
     frame = tokenfile.pack([3], [2], [b""], tokenfile.digest_of(b"x"), False)
     with pytest.raises(ValueError, match="another dictionary"):
@@ -98,9 +130,10 @@ def test_containers_refuse_another_dictionary():
 
 
 def test_dictionary_is_trained_and_used(spark):
+    """On a small table too."""
     rng = random.Random(1)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
-    df = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary) for _ in range(400))) for i in range(1200)], "doc_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary) for _ in range(400))) for i in range(120)], "doc_id long, text string")
     encode = tokenfile.words_encoder(WORD)
     dictionary = tokenfile.train(df, encode)
     assert dictionary[:4] == b"\x37\xa4\x30\xec"
