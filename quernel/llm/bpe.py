@@ -24,7 +24,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from quernel.llm.common import Encoder, encode_pieces, id_text, ship, slices, tidy
+from quernel.llm import common
+from quernel.llm.common import Encoder, encode_pieces, id_text, ship, tidy
 
 #: Fixed value: how the byte-level scheme cuts a text into pretokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -271,6 +272,11 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows whose texts, in its second column, are SLICE_BYTES at most together."""
+    return common.slices(batch, SLICE_ROWS, SLICE_BYTES)
+
+
 def encode_documents(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
     """(doc_id, n_tokens long, ids binary: little-endian 32-bit, decoded string) for each row of docs;
     decoded is null where it isn't asked for."""
@@ -279,7 +285,7 @@ def encode_documents(docs: DataFrame, path: str, decode: bool = True) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part in slices(batch, SLICE_ROWS, SLICE_BYTES):
+            for part in slices(batch):
                 ids = bpe.encode_many(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) if decode else None for x in ids], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 

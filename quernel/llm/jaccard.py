@@ -3,22 +3,28 @@
 A document's set holds the distinct runs of five words, A-Z in lower case; fewer words make one
 shingle, no words an empty set, which links with nothing. Sets are compared as 64-bit hashes.
 
-1. Equal sets fall together by their fingerprint; one document stands for each.
-2. A set links with another only if three quarters of its shingles occur in other sets. All
-   shingles of all documents are dealt out by their hash, as packed arrays, and each set gets the
-   number of its shared ones. Sets with too few drop out; this loses no link.
+1. One pass over the texts cuts them into shingles. Equal sets fall together by their 128-bit
+   fingerprint, never by ids; one document stands for each.
+2. A set links with another only if three quarters of its shingles occur in other sets. In the same
+   pass the shingles are dealt out by their hash, as packed arrays: those that one set of a batch
+   holds with that set, those that several hold once, as a mark; the latter are counted at once. Each
+   set gets the number of its shared ones, and those with too few drop out; this loses no link.
 3. The others meet by MinHash keys: two sets with similarity s share a key with probability s, and
    miss all KEYS with probability (1 - s)^KEYS, below 4e-15. The keys go in rounds; in the later
-   ones only groups that still hold different components are looked at. A group above CHUNK
-   shingles is split in chunks, and every two chunks meet in a task of their own.
-4. In a task a signature tree is built: leaves of sets, nodes with the OR and the AND of their
+   ones only groups that still hold different components are looked at.
+4. A group above CHUNK shingles is dealt to chunks. Each chunk meets the first one, which makes most
+   of a group of copies one component; then only sets outside the group's largest component meet the
+   chunks that they haven't met. So work grows with a group of copies, not with its square.
+5. In a task a signature tree is built: leaves of sets, nodes with the OR and the AND of their
    token bitmaps and their range of sizes. A dual traversal drops pairs of nodes whose greatest
    possible overlap is too small or which are one component already; the sets of what remains are
    intersected exactly.
-5. The links found give components.
+6. The links found give components.
 
-Null, empty and blank texts are alone, with n_shingles 0. Rows that repeat an id give one result
-each, the same where their texts agree; extra columns are not read; an empty table gives no rows.
+Null, empty and blank texts are alone, with n_shingles 0. Rows that repeat an id are documents of
+their own: each has the size of its own set and the least id of its own component. So have rows
+without an id; a component without any id has a null name. Ties need no care; extra columns are not
+read; an empty table gives no rows. A very long text takes a small multiple of its size in one worker.
 """
 
 from __future__ import annotations
@@ -28,86 +34,124 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import id_text, parts, raw, ship, stored, tidy
+from quernel.llm.common import id_text, parts, raw, ship, slices, stored, tidy
 from quernel.llm.components import components
 from quernel.llm.textkernel import shingle_set
 
 KEYS, ROUNDS = 24, ((0, 2), (2, 8), (8, 24))
-CHUNK = 1 << 20
+CHUNK = 1 << 17
+#: Rows and bytes of text, about, whose shingles are put together before they are dealt.
+SLICE_ROWS, SLICE_BYTES = 10_000, 8 << 20
 LEAF, FAN, WORDS = 16, 8, 16
 _rng = np.random.default_rng(20240611)
 _FACTORS = _rng.integers(1 << 62, size=KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _fingerprint(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _fingerprint(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key): size and fingerprint of each document's set; no key for an empty set."""
-    ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, key = [], []
-            for t in raw(batch.column(1)):
-                s = shingle_set(t)
-                n.append(len(s))
-                key.append(_fingerprint(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())], ["doc_id", "n", "key"])
-
-    return id_text(docs).mapInArrow(tidy(run), "doc_id long, n long, key long")
-
-
-def shared_counts(docs: DataFrame) -> DataFrame:
-    """(key, shared): how many shingles of a set occur in some other set."""
+    """Rows of two kinds, stored. A document's: (doc_id, mark: a hash of its text, n: its set's size,
+    key: its set's fingerprint, null for an empty set), shared null. And (key, shared), several to a
+    key: how many shingles of a set occur in some other set."""
     spark = docs.sparkSession
     ship(spark)
     buckets = 4 * parts(spark)
+    names = ["bucket", "keys", "counts", "hashes", "marks", "doc_id", "mark", "n", "key", "shared"]
+    kinds = (pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+
+    def dealt(sets: dict[bytes, np.ndarray]) -> list[tuple]:
+        """Packed shingles of distinct sets, a row for each bucket, and the shared ones counted here."""
+        keys = list(sets)
+        h = np.concatenate(list(sets.values()))
+        doc = np.repeat(np.arange(len(keys), dtype=np.int32), [len(s) for s in sets.values()])
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], doc[order]
+        first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)))
+        total = np.diff(first, append=len(h))
+        here = np.bincount(doc[np.repeat(total > 1, total)], minlength=len(keys))
+        alone, mark = first[total == 1], first[total > 1]
+        low = h.astype("<u4")
+        where = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        cuts = []
+        for x in (alone, mark):
+            x = x[np.argsort(where[x], kind="stable")]
+            cuts.append((x, np.searchsorted(where[x], np.arange(buckets + 1))))
+        (alone, cut), (mark, cut_marks) = cuts
+        rows = []
+        for b in np.flatnonzero(np.diff(cut) + np.diff(cut_marks)).tolist():
+            at = alone[cut[b] : cut[b + 1]]
+            at = at[np.argsort(doc[at], kind="stable")]
+            owners, n = np.unique(doc[at], return_counts=True)
+            rows.append((b, b"".join([keys[i] for i in owners]), n.astype("<u4").tobytes(), low[at].tobytes(), low[mark[cut_marks[b] : cut_marks[b + 1]]].tobytes(), *[None] * 5))
+        return rows + [(int.from_bytes(keys[i][:4]) % buckets, *[None] * 7, keys[i], int(here[i])) for i in np.flatnonzero(here).tolist()]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                sets = [s for t in raw(batch.column(1).slice(k, 1000)) if len(s := shingle_set(t))]
-                if not sets:
-                    continue
-                keys = np.array([_fingerprint(s) for s in sets], np.int64)
-                h = np.concatenate(sets)
-                doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                where = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                cut = np.searchsorted(where[order], np.arange(buckets + 1))
-                rows = []
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    at = order[cut[b] : cut[b + 1]]
-                    owners, counts = np.unique(doc[at], return_counts=True)
-                    rows.append((b, keys[owners].tobytes(), counts.astype("<u4").tobytes(), h[at].astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "keys", "counts", "hashes"])
+            for part in slices(batch, SLICE_ROWS, SLICE_BYTES):
+                sets: dict[bytes, np.ndarray] = {}
+                rows, seen = [], {}
+                for i, t, mark in zip(part.column(0).to_pylist(), raw(part.column(1)), part.column(2).to_pylist()):
+                    text = bytes(t)
+                    if text not in seen:
+                        s = shingle_set(t)
+                        key = _fingerprint(s) if len(s) else None
+                        seen[text] = len(s), key
+                        if key is not None:
+                            sets[key] = s
+                    n, key = seen[text]
+                    rows.append((mark % buckets, *[None] * 4, i, mark, n, key, None))
+                if sets:
+                    rows += dealt(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = {}
-        for batch in batches:
-            for b, k, c, h in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                by.setdefault(b, []).append((np.frombuffer(k, np.int64), np.frombuffer(c, "<u4"), np.frombuffer(h, "<u4")))
-        for b in sorted(by):
-            keys, counts, h = (np.concatenate(x) for x in zip(*by.pop(b)))
-            names, index = np.unique(keys, return_inverse=True)
-            place = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
+        held, now = [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            keys, *cols = zip(*held)
+            keys = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+            counts, h, marks = (np.frombuffer(b"".join(c), "<u4") for c in cols)
+            # Equal sets of different batches are one owner.
+            known, index = np.unique(keys, axis=0, return_inverse=True)
+            owner = index.reshape(-1)[np.repeat(np.arange(len(keys)), counts)]
             order = np.argsort(h, kind="stable")
-            first = np.flatnonzero(np.diff(h[order], prepend=h[order[:1]] ^ np.uint32(1)))
-            owner = index[place[order]]
-            many = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-            shared = np.bincount(place[order][np.repeat(many, np.diff(first, append=len(h)))], minlength=len(keys))
-            out = np.zeros(len(names), np.int64)
-            out[index] = shared  # the same for all documents with one set
-            some = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(out[some])], ["key", "shared"])
+            h, owner = h[order], owner[order]
+            if not len(h):
+                return
+            first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint32(1)))
+            many = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) | np.isin(h[first], marks)
+            size = np.diff(first, append=len(h))
+            # An owner's shingle counts once, however many batches hold its set.
+            pair = np.unique(np.repeat(np.flatnonzero(many), size[many]) * len(known) + owner[np.repeat(many, size)])
+            shared = np.bincount(pair % len(known), minlength=len(known))
+            some = np.flatnonzero(shared)
+            if len(some):
+                nothing = pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array([known[i].tobytes() for i in some], pa.binary()), pa.array(shared[some], pa.int64())], names[5:])
 
-    dealt = id_text(docs).select("doc_id", "text").mapInArrow(tidy(deal), "bucket int, keys binary, counts binary, hashes binary")
-    return dealt.repartition(parts(spark), "bucket").mapInArrow(tidy(count), "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+        for batch in batches:
+            passed = batch.filter(batch.column(1).is_null())
+            if passed.num_rows:
+                yield pa.RecordBatch.from_arrays(passed.columns[5:], names[5:])
+            own = batch.filter(batch.column(1).is_valid())
+            for b, *x in zip(*(own.column(i).to_pylist() for i in range(5))):
+                if b != now:
+                    yield from close()
+                    held, now = [], b
+                held.append(x)
+        yield from close()
+
+    texts = id_text(docs).withColumn("mark", F.xxhash64("text"))
+    rows = texts.mapInArrow(tidy(deal), "bucket int, keys binary, counts binary, hashes binary, marks binary, doc_id long, mark long, n long, key binary, shared long")
+    rows = rows.repartition(parts(spark), "bucket").sortWithinPartitions("bucket")
+    return stored(rows.mapInArrow(tidy(count), "doc_id long, mark long, n long, key binary, shared long"))
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -226,48 +270,100 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(id, n, shingles, keys) of documents with a set."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """(id, n, shingles, keys) of rows (id, text, key) whose text has the set that key names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                sets = [shingle_set(t) for t in raw(part.column(1))]
+            for part in slices(batch):
+                found = [(i, s) for i, t, key in zip(part.column(0).to_pylist(), raw(part.column(1)), part.column(2).to_pylist()) if _fingerprint(s := shingle_set(t)) == key]
                 # The least multiples; a set's own mark goes with its place, so that places differ.
-                keys = [[int((s * f).min() >> np.uint64(1)) ^ p << 56 for p, f in enumerate(_FACTORS)] for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "shingles", "keys"])
+                keys = [[int((s * f).min() >> np.uint64(1)) ^ p << 56 for p, f in enumerate(_FACTORS)] for _, s in found]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "shingles", "keys"])
+
+    return texts.select("id", "text", "key").mapInArrow(tidy(run), "id long, n long, shingles binary, keys array<long>")
+
+
+def _met(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links that rows (key, i, j, comp, id) find where they meet by the first three."""
+    rows = rows.join(sets.select("id", "shingles"), "id").select("key", "i", "j", "comp", "shingles")
+    return rows.repartition(parts(sets.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(_match), "a long, b long")
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "id long, n long, shingles binary, keys array<long>")
+
+def _chunks(size: Column) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.ceil(size / CHUNK))
+
+
+def _own(chunks: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), chunks)
+
+
+def _open(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """rows (key, id, n) of groups with different components, with comp and the group's chunks."""
+    if known is None:
+        rows = rows.withColumn("comp", F.col("id"))
+    else:
+        rows = rows.join(known, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    groups = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), _chunks(F.sum("n")).alias("chunks")).where("lo <> hi")
+    return rows.join(groups.select("key", "chunks"), "key")
+
+
+def _first_chunk(rows: DataFrame) -> DataFrame:
+    """Each chunk of a group meets the group's first one."""
+    rows = rows.withColumn("own", _own(F.col("chunks")))
+    others = F.when(F.col("own") == 0, F.expr("sequence(least(1L, chunks - 1), chunks - 1)")).otherwise(F.array("own"))
+    return rows.select("key", F.lit(0).cast("long").alias("i"), F.explode(others).alias("j"), "comp", "id")
+
+
+def _outsiders(rows: DataFrame) -> DataFrame:
+    """What is outside a group's largest component, in chunks of its own, meets all chunks of the
+    largest and each other's. Two chunks have met already."""
+    rows = rows.where("chunks > 2")
+    weight = rows.groupBy("key", "comp").agg(F.sum("n").alias("w"))
+    largest = weight.groupBy("key").agg(F.max_by("comp", F.struct("w", "comp")).alias("major"), F.max("w").alias("inside"), (F.sum("w") - F.max("w")).alias("outside"))
+    rows = rows.join(largest.select("key", "major", _chunks(F.col("inside")).alias("ins"), _chunks(F.col("outside")).alias("outs")), "key")
+    inner = rows.where("comp = major").withColumn("j", _own(F.col("ins"))).withColumn("i", F.explode(F.expr("sequence(0L, outs - 1)")))
+    outer = rows.where("comp <> major").withColumn("own", _own(F.col("outs")))
+    across = outer.withColumn("i", F.col("own")).withColumn("j", F.explode(F.expr("sequence(0L, ins - 1)")))
+    # Pairs of outer chunks stand below zero, so that they are no inner chunk's.
+    among = outer.where("outs > 1").withColumn("other", F.explode(F.expr("sequence(0L, outs - 1)"))).where("other <> own")
+    among = among.withColumn("i", F.least("own", "other")).withColumn("j", -1 - F.greatest("own", "other"))
+    cols = ["key", "i", "j", "comp", "id"]
+    return inner.select(*cols).union(across.select(*cols)).union(among.select(*cols))
 
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document."""
-    spark = docs.sparkSession
-    ship(spark)
-    sig = stored(signatures(docs))
-    reps = sig.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    chosen = stored(reps.join(shared_counts(docs).withColumnRenamed("key", "_k"), F.col("key") == F.col("_k")).where("100 * shared >= 75 * n").select("key", "rep"))
-    named = id_text(docs).join(chosen.select(F.col("rep").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = stored(_sets(named))
+    both = signatures(docs)
+    sig = both.where("shared IS NULL").select("doc_id", "mark", "n", "key")
+    shared = both.where("shared IS NOT NULL").groupBy("key").agg(F.sum("shared").alias("shared")).withColumnRenamed("key", "_k")
+    # The least id names a set, and the text of some document with it is read again.
+    source = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    reps = stored(sig.where("key IS NOT NULL").groupBy("key").agg(source.alias("s"), F.first("n").alias("n")).select("key", "n", F.col("s.doc_id").alias("rep"), F.col("s.mark").alias("rep_mark")))
+    chosen = reps.join(shared, F.col("key") == F.col("_k")).where("100 * shared >= 75 * n").select("key", "rep", "rep_mark")
+    # Numbers of sets, without collisions; stored, so that they stay as they are.
+    chosen = stored(chosen.withColumn("id", F.monotonically_increasing_id()))
+    texts = id_text(docs).withColumn("mark", F.xxhash64("text"))
+    texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark")))
+    # Rows repeated as they are count once.
+    sets = stored(_sets(texts.groupBy("doc_id", "mark", "id", "key").agg(F.min("text").alias("text"))))
     light = sets.select("id", "n", "keys")
     edges, known = None, None
     for first, last in ROUNDS:
         rows = light.select("id", "n", F.explode(F.slice("keys", first + 1, last - first)).alias("key"))
-        rows = rows.withColumn("comp", F.col("id")) if known is None else rows.join(known, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        groups = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.sum("n") / CHUNK).alias("chunks")).where("lo <> hi")
-        rows = rows.join(groups.select("key", "chunks"), "key")
-        rows = rows.withColumn("own", F.expr("pmod(xxhash64(id), chunks)")).withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
-        rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "comp", "id")
-        rows = rows.join(sets.select("id", "shingles"), "id").select("key", "i", "j", "comp", "shingles")
-        found = rows.repartition(parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(_match), "a long, b long")
-        edges = found if edges is None else found.union(edges)
-        edges = stored(edges)
+        found = _met(_first_chunk(_open(rows, known)), sets)
+        edges = stored(found if edges is None else found.union(edges))
         known = components(edges)
-    comps = chosen.join(known.withColumnRenamed("id", "rep"), "rep").select("key", "component")
-    # Equal sets are one component, named by its least document.
-    comps = reps.select("key", "rep").join(comps, "key", "left").select(F.col("key").alias("_k"), F.coalesce("component", "rep").alias("component"))
-    return sig.join(comps, F.col("key") == F.col("_k"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        rest = _open(rows, known).where("chunks > 2")
+        if not rest.isEmpty():
+            edges = stored(_met(_outsiders(rest), sets).union(edges))
+            known = components(edges)
+    comps = chosen.join(known, "id", "left").select("key", "rep", F.coalesce("component", "id").alias("root"))
+    names = comps.groupBy("root").agg(F.min("rep").alias("component_id"))
+    comps = comps.join(names, "root").select(F.col("key").alias("_k"), "component_id")
+    # Sets that link with no other are named by their own least id.
+    comps = reps.join(comps, F.col("key") == F.col("_k"), "left").select(F.col("key").alias("_k"), F.when(F.col("_k").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component"))
+    return sig.join(comps, F.col("key") == F.col("_k"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def sql() -> str:

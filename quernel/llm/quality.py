@@ -1,7 +1,8 @@
 """Quality rules: a table of thresholds compiled into one projection over the text, without user functions.
 
 Words are runs of characters other than blanks, tabs and line ends. Null and empty texts have no
-words and fail the base rules. Rows are judged one by one, so ties, repeated rows and empty tables
+words and fail the base rules. Lines that repeat are judged by their characters' share, so a heading
+or footer that comes back rejects no text. Rows are judged one by one, so ties, repeated rows and empty tables
 need no care; of extra columns only the id and the text are read. Memory for one text is a small
 multiple of its length: windows of words are kept as 64-bit hashes.
 """
@@ -49,14 +50,14 @@ class Rule:
         return " AND ".join(t for t in tests if t) or "true"
 
 
-#: Percentages of words, of lines, or of 1.
+#: Percentages of words, of the characters in lines with a word, or of 1.
 RULES = (
     Rule("long_enough", "n_words", "one", low=2000),
     Rule("short_enough", "n_words", "one", high=100 * 10**9),
     Rule("word_length", "word_chars", "n_words", low=200, high=1200),
     Rule("symbols", "n_symbols", "n_words", high=10),
     Rule("stop_words", "n_stop_words", "n_words", low=2),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", high=30),
+    Rule("repeated_lines", "dup_line_chars", "line_chars", high=30),
 )
 
 
@@ -102,9 +103,14 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         return F.struct(F.size(w).cast("long").alias("n_words"), _let(F.transform(w, lambda x: F.xxhash64(x)), of_hashes).alias("n_repeat_words"), F.size(F.filter(w, lambda x: x.isin(stop_words()))).cast("long").alias("n_stop_words"))
 
-    line_counts = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    chars = lambda x: F.length(F.array_join(x, "")).cast("long")
+
+    def of_lines(x: Column) -> Column:
+        return _let(F.array_distinct(x), lambda once: F.struct((F.size(x) - F.size(once)).cast("long").alias("n_dup_lines"), chars(x).alias("line_chars"), (chars(x) - chars(once)).alias("dup_line_chars")))
+
+    line_counts = _let(lines, of_lines)
     rows = rows.select("doc_id", "row", _let(words, repeats).alias("w"), bare.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), line_counts.alias("l"))
-    return rows.select("doc_id", "row", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.n_stop_words", "l.n_lines", F.lit(1).cast("long").alias("one"))
+    return rows.select("doc_id", "row", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.n_stop_words", "l.line_chars", "l.dup_line_chars", F.lit(1).cast("long").alias("one"))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
@@ -137,7 +143,8 @@ g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i
 c AS (SELECT doc_id, least({WINDOW}, i - lag(i, 1, i - {WINDOW}) OVER (PARTITION BY doc_id ORDER BY i)) AS k FROM g WHERE n > 1),
 r AS (SELECT doc_id, sum(k)::BIGINT AS n_repeat_words FROM c GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
-  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, length(array_to_string(ls, ''))::BIGINT AS line_chars,
+  (length(array_to_string(ls, '')) - length(array_to_string(list_distinct(ls), '')))::BIGINT AS dup_line_chars,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
   len(list_filter(ws, lambda x: x IN ({stops})))::BIGINT AS n_stop_words, 1::BIGINT AS one FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)

@@ -3,23 +3,27 @@
 Each byte covered by a string of SPAN bytes that starts in two places of the corpus goes; both
 places may lie in one document. Strings are judged on the input, matches don't cross documents.
 
-1. Equal texts are known by their fingerprints: where there are two or more of SPAN bytes, all of
-   each goes, and one stands for them in what follows.
+1. Texts are known by 128-bit fingerprints, never by their ids. Of equal texts of SPAN bytes or more
+   all of each goes, and one stands for them in what follows.
 2. Of the GRAM-byte strings in each window of SPAN bytes the one with the least hash, the first of
    equals, is the window's anchor: equal windows have equal anchors at the same place. Anchors,
    about one in fifty bytes, are dealt out by hash as packed arrays, and those that occur once drop
-   out, with all windows that they stand for.
-3. The suffixes at the remaining anchors meet by anchor, with the bytes their windows reach. They
-   are sorted deep-shallow: multikey quicksort over eight bytes at a time down to SHALLOW bytes,
-   then a blind trie for each group that still agrees; so are the reversed prefixes. The common
-   prefixes of neighbours give, for each window at each distance from the anchor, which others
-   hold the same bytes. An anchor with more than CHUNK places is split in chunks, and every two of
-   them meet in a task of their own.
-4. The windows found are joined to spans and cut out.
-
-Null texts are empty. Texts below SPAN bytes keep all. Rows that repeat an id are told apart by
-their text only where the texts agree; ids should be unique. Extra columns are not read. Memory in
-step 3 follows CHUNK, not the number of copies.
+   out, with all windows that they stand for. An anchor that stands twice in a batch of texts is
+   known to repeat, so that batch sends one mark for it instead of its places.
+3. The suffixes at the remaining anchors meet by anchor, with the bytes their windows reach; what a
+   batch holds twice is settled there and sent once, without its places. The rest is sorted
+   deep-shallow: multikey quicksort over eight bytes at a time down to SHALLOW bytes, then a blind
+   trie for each group that still agrees; so are the reversed prefixes. The common prefixes of
+   neighbours give, for each window at each distance from the anchor, which others hold the same
+   bytes.
+4. Anchors with more than CHUNK places are too many for one task: their windows meet one by one, by
+   128-bit hashes, so that no group grows with the number of copies but by one row for a batch.
+5. The windows found are joined to spans and cut out.
+
+Null texts are empty. Texts below SPAN bytes keep all. Rows that repeat an id, or have none, are
+documents of their own: equal ones lose all of their text as other copies do, different ones stay
+apart. Ties and empty tables need no care. Of extra columns only those to carry are read; a very long
+text takes a few times its own size in one worker. Memory in step 3 follows CHUNK.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import id_text, parts, raw, ship, stored, tidy
+from quernel.llm.common import id_text, parts, raw, ship, slices, stored, tidy
 from quernel.llm.textkernel import mix, powers
 
 SPAN, GRAM = 200, 100
@@ -40,6 +45,12 @@ REACH = SPAN - GRAM
 SHALLOW = 24
 CHUNK = 50_000
 SEGMENT = 1 << 17
+#: Rows and bytes of text, about, within which equal places are put together before they are dealt.
+SLICE_ROWS, SLICE_BYTES = 10_000, 8 << 20
+#: Distinct places up to which pairs of them are cheaper than distances.
+FEW = 8
+#: Parts that the rows of one fingerprint are dealt to where they are joined.
+SALTS = 16
 
 
 def anchors(data: memoryview | bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -65,20 +76,54 @@ def anchors(data: memoryview | bytes) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield g[place], place.astype(np.int64) + at, first + at, last + at
 
 
+def fingerprint(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, md5, n) of each text."""
-    return id_text(docs).select("doc_id", F.xxhash64("text").alias("key"), F.md5(F.col("text").cast("binary")).alias("md5"), F.octet_length("text").alias("n"))
+    """(doc_id, key, n) of each text."""
+    return id_text(docs).select("doc_id", fingerprint(F.col("text")).alias("key"), F.octet_length("text").alias("n"))
 
 
 def _deal(docs: DataFrame) -> DataFrame:
-    """Anchors of all texts as packed arrays, a row for each batch and bucket."""
+    """Anchors of all texts as packed arrays, a row for each batch and bucket: those that stand once
+    in the batch with their texts and places, those that stand there more often as marks with their
+    number. The places of the latter go along, a row for each text (key, at, anchors)."""
     buckets = 4 * parts(docs.sparkSession)
+    names = ["bucket", "keys", "counts", "hashes", "places", "marks", "totals", "key", "at", "anchors"]
+    kinds = (pa.int32(), *[pa.binary()] * 7, pa.list_(pa.int32()), pa.list_(pa.int64()))
+
+    def packed(keys: list[bytes], h: np.ndarray, p: np.ndarray, doc: np.ndarray) -> list[tuple]:
+        where = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        low = h.astype("<u4")
+        name = where << 32 | low
+        order = np.lexsort((p, doc, name))
+        first = np.flatnonzero(np.diff(name[order], prepend=-1))
+        total = np.diff(first, append=len(order))
+        alone, mark = order[first[total == 1]], order[first[total > 1]]
+        cut, cut_marks = (np.searchsorted(where[x], np.arange(buckets + 1)) for x in (alone, mark))
+        total = total[total > 1].astype("<u4")
+        rows = []
+        for b in np.flatnonzero(np.diff(cut) + np.diff(cut_marks)).tolist():
+            at, to = alone[cut[b] : cut[b + 1]], slice(cut_marks[b], cut_marks[b + 1])
+            at = at[np.argsort(doc[at], kind="stable")]
+            owners, n = np.unique(doc[at], return_counts=True)
+            rows.append((b, b"".join(keys[i] for i in owners), n.astype("<u4").tobytes(), low[at].tobytes(), p[at].tobytes(), low[mark[to]].tobytes(), total[to].tobytes(), None, None, None))
+        known = np.ones(len(h), bool)
+        known[alone] = False
+        known = np.flatnonzero(known)
+        owners, at = np.unique(doc[known], return_index=True)  # documents stand in order
+        for i, x, y in zip(owners.tolist(), at.tolist(), [*at[1:].tolist(), len(known)]):
+            part = known[x:y]
+            rows.append((int.from_bytes(keys[i][:4]) % buckets, *[None] * 6, keys[i], p[part].tolist(), name[part].tolist()))
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
+            for part in slices(batch, SLICE_ROWS, SLICE_BYTES):
+                texts = dict(zip(part.column(0).to_pylist(), raw(part.column(1))))
                 keys, counts, hs, ps = [], [], [], []
-                for key, t in zip(batch.column(0).slice(k, 1000).to_pylist(), raw(batch.column(1).slice(k, 1000))):
+                for key, t in texts.items():
                     for h, p, _, _ in anchors(t):
                         keys.append(key)
                         counts.append(len(h))
@@ -86,78 +131,123 @@ def _deal(docs: DataFrame) -> DataFrame:
                         ps.append(p)
                 if not keys:
                     continue
-                h, p, keys = np.concatenate(hs), np.concatenate(ps).astype("<u4"), np.array(keys, np.int64)
-                doc = np.repeat(np.arange(len(keys)), counts)
-                where = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                cut = np.searchsorted(where[order], np.arange(buckets + 1))
-                rows = []
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    at = order[cut[b] : cut[b + 1]]
-                    owners, n = np.unique(doc[at], return_counts=True)
-                    rows.append((b, keys[owners].tobytes(), n.astype("<u4").tobytes(), h[at].astype("<u4").tobytes(), p[at].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "keys", "counts", "hashes", "places"])
-
-    rows = id_text(docs).select(F.xxhash64("text").alias("key"), "text").where(F.octet_length("text") >= SPAN)
-    return rows.mapInArrow(tidy(run), "bucket int, keys binary, counts binary, hashes binary, places binary")
+                # A long text's segments are entries of their own, but one owner.
+                index = {k: i for i, k in enumerate(texts)}
+                doc = np.repeat([index[k] for k in keys], counts)
+                rows = packed(list(texts), np.concatenate(hs), np.concatenate(ps).astype("<u4"), doc)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    rows = id_text(docs).select(fingerprint(F.col("text")).alias("key"), "text").where(F.octet_length("text") >= SPAN)
+    return rows.mapInArrow(tidy(run), "bucket int, keys binary, counts binary, hashes binary, places binary, marks binary, totals binary, key binary, at array<int>, anchors array<long>")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, places, sizes): of each text the anchors that occur elsewhere too, and in how many places."""
-    by: dict[int, list] = {}
-    for batch in batches:
-        for b, *x in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            by.setdefault(b, []).append([np.frombuffer(v, t) for v, t in zip(x, (np.int64, "<u4", "<u4", "<u4"))])
-    for b in sorted(by):
-        keys, counts, h, p = (np.concatenate(x) for x in zip(*by.pop(b)))
-        names, index = np.unique(keys, return_inverse=True)
-        owner = np.repeat(index, counts)
-        # Equal texts hold the same anchors in the same places; one of them counts.
+    """Dealt rows sorted by bucket to (key, at, anchors): of each text the anchors that occur elsewhere
+    too; and (hot) the anchors with more than CHUNK places."""
+    names, kinds = ["key", "at", "anchors", "hot"], (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64())
+    held, now = [], None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        keys, *cols = zip(*held)
+        keys = np.frombuffer(b"".join(keys), "V16")
+        counts, h, p, marks, totals = (np.frombuffer(b"".join(c), "<u4") for c in cols)
+        owner = np.repeat(np.arange(len(keys)), counts)
+        known, index = np.unique(keys.view("<u8").reshape(-1, 2), axis=0, return_inverse=True) if len(keys) else (np.zeros((0, 2), "<u8"), np.zeros(0, np.int64))
+        owner = index.reshape(-1)[owner]
+        # Equal texts of different batches hold the same anchors in the same places; one of them counts.
         order = np.lexsort((p, owner, h))
         h, p, owner = h[order], p[order], owner[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (p[1:] != p[:-1])
         h, p, owner = h[new], p[new], owner[new]
-        first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint32(1)))
-        size = np.repeat(np.diff(first, append=len(h)), np.diff(first, append=len(h)))
-        many = np.flatnonzero(size > 1)
+        every, at, n = np.unique(np.concatenate([h, marks]), return_inverse=True, return_counts=True)
+        n = n.astype(np.int64)
+        np.add.at(n, at[len(h) :], totals.astype(np.int64) - 1)
+        hot = every[n > CHUNK]
+        many = np.flatnonzero(n[at[: len(h)]] > 1)
         many = many[np.argsort(owner[many], kind="stable")]
-        who, at = np.unique(owner[many], return_index=True)
-        ends = np.append(at[1:], len(many))
-        ps, ss = p[many].astype("<u4").tobytes(), np.minimum(size[many], 1 << 30).astype("<u4").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array([ps[4 * i : 4 * j] for i, j in zip(at, ends)], pa.binary()), pa.array([ss[4 * i : 4 * j] for i, j in zip(at, ends)], pa.binary())], ["key", "places", "sizes"])
+        who, begin = np.unique(owner[many], return_index=True)
+        ends = [*begin[1:].tolist(), len(many)]
+        ps, hs = p[many].tolist(), (now << 32 | h[many].astype(np.int64)).tolist()
+        rows = [(known[w].tobytes(), ps[i:j], hs[i:j], None) for w, i, j in zip(who.tolist(), begin.tolist(), ends)]
+        rows += [(None, None, None, now << 32 | int(x)) for x in hot]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    for batch in batches:
+        passed = batch.filter(batch.column(7).is_valid())
+        if passed.num_rows:
+            yield pa.RecordBatch.from_arrays([passed.column(7), passed.column(8), passed.column(9), pa.nulls(passed.num_rows, pa.int64())], names)
+        own = batch.filter(batch.column(7).is_null())
+        for b, *x in zip(*(own.column(i).to_pylist() for i in range(7))):
+            if b != now:
+                yield from close()
+                held, now = [], b
+            held.append(x)
+    yield from close()
+
+
+class _Places:
+    """What a batch of texts sends on: contexts and windows that it holds once with their place, those
+    that it holds more often without; the latter's places are spans already."""
+
+    names = ["h", "w", "key", "lo", "p", "context", "spans"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+
+    def __init__(self) -> None:
+        self.once: dict[tuple, tuple[bytes | None, int]] = {}
+        self.spans: dict[bytes, list[int]] = {}
+        self.held = 0
+
+    def add(self, name: tuple, key: bytes, lo: int, size: int) -> None:
+        """name: (anchor, place in context, context), or (hash, None, None) of a window."""
+        other = self.once.get(name)
+        if other is None:
+            self.once[name] = (key, lo)
+            self.held += size
+            return
+        if other[0] is not None:
+            self.spans.setdefault(other[0], []).extend((other[1], other[1] + size))
+            self.once[name] = (None, 0)
+        self.spans.setdefault(key, []).extend((lo, lo + size))
+
+    def batch(self) -> pa.RecordBatch:
+        rows = []
+        for (h, p, context), (key, lo) in self.once.items():
+            if context is None:
+                rows.append((int.from_bytes(h[:8], signed=True), int.from_bytes(h[8:], signed=True), key, lo, None, None, None))
+            else:
+                rows.append((h, None, key, lo, p, context, None))
+        rows += [(int.from_bytes(k[:8], signed=True), None, k, None, None, None, x) for k, x in self.spans.items()]
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, self.kinds)], self.names)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, places, sizes) to a row for each repeated anchor: its hash, the pair of
-    chunks, the document, the anchor's place, and the bytes of its windows with the anchor's place in them."""
+    """Rows (key, text, at, hot) to a row for each repeated anchor: its hash, the text, where its
+    first window begins, the anchor's place from there, and the bytes of its windows. For hot anchors
+    a row for each window, by its hash h and w. Spans found on the way are rows too."""
+    places = _Places()
     for batch in batches:
-        cols = [[] for _ in range(7)]
-        held = 0
-        for doc, t, ps, ss in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            wanted = np.concatenate([np.frombuffer(x, "<u4") for x in ps]).astype(np.int64)
-            sizes = np.concatenate([np.frombuffer(x, "<u4") for x in ss])
+        for key, t, at, hot in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            wanted = np.array([x for part in at for x in part], np.int64)
+            heat = np.array([x for part in hot for x in part], bool) if hot else np.zeros(len(wanted), bool)
             order = np.argsort(wanted)
-            wanted, sizes = wanted[order], sizes[order]
+            wanted, heat = wanted[order], heat[order]
             for h, p, first, last in anchors(t):
-                at = np.minimum(np.searchsorted(wanted, p), len(wanted) - 1)
-                ok = np.flatnonzero(wanted[at] == p)
-                for x, y, lo, hi, n in zip(h[ok].view(np.int64).tolist(), p[ok].tolist(), first[ok].tolist(), last[ok].tolist(), sizes[at[ok]].tolist()):
-                    chunks = -(-n // CHUNK)
-                    own = hash((doc, y)) % chunks
-                    for other in range(chunks):
-                        for c, v in zip(cols, (x, min(own, other), max(own, other), doc, lo, y - lo, t[lo : hi + SPAN])):
-                            c.append(v)
-                    held += hi + SPAN - lo
-            if held > 8 << 20:
-                yield _context_batch(cols)
-                cols, held = [[] for _ in range(7)], 0
-        yield _context_batch(cols)
-
-
-def _context_batch(cols: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c if k != pa.binary() else list(map(bytes, c)), k) for c, k in zip(cols, kinds)], ["h", "i", "j", "doc_id", "lo", "p", "context"])
+                i = np.minimum(np.searchsorted(wanted, p), len(wanted) - 1)
+                ok = np.flatnonzero(wanted[i] == p)
+                for x, y, lo, hi, many in zip(h[ok].view(np.int64).tolist(), p[ok].tolist(), first[ok].tolist(), last[ok].tolist(), heat[i[ok]].tolist()):
+                    if many:
+                        for k in range(lo, hi + 1):
+                            places.add((xxhash.xxh3_128_digest(t[k : k + SPAN]), None, None), key, k, SPAN)
+                    else:
+                        places.add((x, y - lo, bytes(t[lo : hi + SPAN])), key, lo, hi + SPAN - lo)
+                if places.held > SLICE_BYTES:
+                    yield places.batch()
+    yield places.batch()
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -260,87 +350,89 @@ def _classes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(order), np.array(common)
 
 
-def repeats(group: list[tuple[int, int, bytes]]) -> list[list[tuple[int, int]]]:
-    """group: (lo, p, context) of places with one anchor. For each the windows, as runs of first and
-    last start, that another place holds too."""
-    first: dict[tuple[int, bytes], int] = {}
-    same = [first.setdefault((p, c), k) for k, (_, p, c) in enumerate(group)]
-    kept = sorted(set(same))
-    twice = set()
-    for k, s in enumerate(same):
-        if k != s:
-            twice.add(s)
-    runs: dict[int, list[tuple[int, int]]] = {}
-    if len(kept) == 2:
-        (_, p, a), (_, q, b) = (group[k] for k in kept)
-        right = common_prefix(a[p:], b[q:])
-        left = common_prefix(a[:p][::-1], b[:q][::-1])
-        lo, hi = SPAN - right, left
-        for k, n, r in ((kept[0], len(a), p), (kept[1], len(b), q)):
-            # Distances from window to anchor lie between those of the last and the first window.
-            d0, d1 = max(lo, r - (n - SPAN)), min(hi, r)
-            runs[k] = [(r - d1, r - d0)] if d0 <= d1 else []
-    elif len(kept) > 2:
-        g = len(kept)
-        ps = np.array([group[k][1] for k in kept])
-        last = ps - np.array([len(group[k][2]) - SPAN for k in kept])
-        ro, rc = _classes([group[k][2][group[k][1] :] for k in kept])
-        lo_, lc = _classes([group[k][2][: group[k][1]][::-1] for k in kept])
-        found = {}
-        for d in range(int(max(0, last.min())), int(ps.max()) + 1):
-            has = (last <= d) & (d <= ps)
-            if has.sum() < 2:
-                continue
-            a, b = np.empty(g, np.int64), np.empty(g, np.int64)
-            a[ro] = np.cumsum(rc < SPAN - d)
-            b[lo_] = np.cumsum(lc < d)
-            key = a * (g + 1) + b
-            x = np.flatnonzero(has)
-            _, inv, n = np.unique(key[x], return_inverse=True, return_counts=True)
-            found[d] = x[n[inv] > 1]
-        hit: dict[int, list[int]] = {}
-        for d in sorted(found, reverse=True):
-            for x in found[d].tolist():
-                hit.setdefault(x, []).append(int(ps[x]) - d)
-        for x, starts in hit.items():
-            s = np.array(starts)
-            cut = np.flatnonzero(np.diff(s) > 1)
-            runs[kept[x]] = list(zip(s[np.r_[0, cut + 1]].tolist(), s[np.r_[cut, len(s) - 1]].tolist()))
-    for k in twice:
-        runs[k] = [(0, len(group[k][2]) - SPAN)]
-    return [[(group[k][0] + a, group[k][0] + b) for a, b in runs.get(s, ())] for k, s in enumerate(same)]
+def repeats(group: list[tuple[int, bytes]]) -> list[list[tuple[int, int]]]:
+    """group: distinct (p, context) of places with one anchor. For each the windows, as runs of first
+    and last start, that another of them holds too."""
+    g = len(group)
+    ps = np.array([p for p, _ in group])
+    ro, rc = _classes([c[p:] for p, c in group])
+    lo, lc = _classes([c[:p][::-1] for p, c in group])
+    if g <= FEW:
+        # The common prefix of two is the least between neighbours from one to the other.
+        right, left = np.empty(g, np.int64), np.empty(g, np.int64)
+        right[ro], left[lo] = np.arange(g), np.arange(g)
+        near: list[list[tuple[int, int]]] = [[] for _ in group]
+        for x in range(g):
+            for y in range(x):
+                i, j = sorted((right[x], right[y]))
+                d0 = SPAN - int(rc[i + 1 : j + 1].min())
+                i, j = sorted((left[x], left[y]))
+                d1 = int(lc[i + 1 : j + 1].min())
+                if d0 <= d1:
+                    for z in (x, y):
+                        near[z].append((group[z][0] - d1, group[z][0] - d0))
+        return near
+    last = ps - np.array([len(c) - SPAN for _, c in group])
+    hit: dict[int, list[int]] = {}
+    for d in range(int(ps.max()), int(max(0, last.min())) - 1, -1):
+        has = (last <= d) & (d <= ps)
+        if has.sum() < 2:
+            continue
+        a, b = np.empty(g, np.int64), np.empty(g, np.int64)
+        a[ro] = np.cumsum(rc < SPAN - d)
+        b[lo] = np.cumsum(lc < d)
+        x = np.flatnonzero(has)
+        _, inv, n = np.unique((a * (g + 1) + b)[x], return_inverse=True, return_counts=True)
+        for k in x[n[inv] > 1].tolist():
+            hit.setdefault(k, []).append(int(ps[k]) - d)
+    out = []
+    for k in range(g):
+        s = np.array(hit.get(k, ()), np.int64)
+        cut = np.flatnonzero(np.diff(s) > 1)
+        out.append(list(zip(s[np.r_[0, cut + 1]].tolist(), s[np.r_[cut, len(s) - 1]].tolist())) if len(s) else [])
+    return out
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, i, j, doc_id, lo, p, context) sorted by the first three to (doc_id, spans)."""
-    spans: dict[int, list[int]] = {}
-    group, docs, now, held = [], [], None, 0
+    """Rows as _contexts gives them, sorted by h and w, to (key, spans)."""
+    spans: dict[bytes, list[int]] = {}
+    places: dict[tuple | None, list[tuple[bytes | None, int]]] = {}
+    now, held = None, 0
 
     def close() -> int:
-        n = 0
-        if len(group) > 1:
-            for doc, runs in zip(docs, repeats(group)):
-                for a, b in runs:
-                    spans.setdefault(doc, []).extend((a, b + SPAN))
-                    n += 1
-        return n
+        """places: by (p, context), or None for a window; those of an anchor, or of a window."""
+        found = 0
+        runs = repeats(list(places)) if len(places) > 1 else [()]
+        for (name, where), own in zip(places.items(), runs):
+            if len(where) > 1 or where[0][0] is None:
+                own = [(0, 0 if name is None else len(name[1]) - SPAN)]
+            for key, lo in where:
+                if key is not None:
+                    for a, b in own:
+                        spans.setdefault(key, []).extend((lo + a, lo + b + SPAN))
+                        found += 1
+        return found
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(spans.keys(), pa.int64()), pa.array(spans.values(), pa.list_(pa.int64()))], ["doc_id", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array(spans.keys(), pa.binary()), pa.array(spans.values(), pa.list_(pa.int64()))], ["key", "spans"])
 
     for batch in batches:
-        meta = zip(*(batch.column(i).to_pylist() for i in range(6)))
-        for (h, i, j, doc, lo, p), c in zip(meta, raw(batch.column(6))):
-            if (h, i, j) != now:
-                held += close()
-                group, docs, now = [], [], (h, i, j)
+        cols = [batch.column(i).to_pylist() for i in range(7)]
+        for h, w, key, lo, p, context, known in zip(*cols):
+            if known is not None:
+                spans.setdefault(key, []).extend(known)
+                held += len(known)
+                continue
+            # Windows have a second half of their hash, anchors none.
+            if (h, w) != now:
+                held += close() if places else 0
+                places, now = {}, (h, w)
                 if held > 200_000:
                     yield flush()
-                    spans.clear()
-                    held = 0
-            group.append((lo, p, bytes(c)))
-            docs.append(doc)
-    close()
+                    spans, held = {}, 0
+            places.setdefault(None if w is not None else (p, context), []).append((key, lo))
+    if places:
+        close()
     yield flush()
 
 
@@ -377,16 +469,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def spans(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """(doc_id, spans): the repeated windows of documents, one for each distinct text."""
+def spans(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, spans): the repeated windows of each distinct text. names: (key, doc_id), a document with it."""
     spark = docs.sparkSession
-    found = _deal(docs).repartition(parts(spark), "bucket").mapInArrow(tidy(_repeated), "key long, places binary, sizes binary")
-    names = prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = found.groupBy("key").agg(F.collect_list("places").alias("places"), F.collect_list("sizes").alias("sizes")).join(names, "key").select("doc_id", "places", "sizes")
-    texts = id_text(docs).join(wanted, "doc_id").select("doc_id", "text", "places", "sizes")
-    rows = texts.mapInArrow(tidy(_contexts), "h long, i int, j int, doc_id long, lo long, p int, context binary")
-    rows = rows.repartition(parts(spark), "h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return stored(rows.mapInArrow(tidy(_sorted_groups), "doc_id long, spans array<long>"))
+    dealt = _deal(docs).repartition(parts(spark), "bucket").sortWithinPartitions("bucket")
+    found = stored(dealt.mapInArrow(tidy(_repeated), "key binary, at array<int>, anchors array<long>, hot long"))
+    own, hot = found.where("key IS NOT NULL").select("key", "at", "anchors"), found.where("hot IS NOT NULL").select("hot").distinct()
+    if hot.isEmpty():
+        wanted = own.groupBy("key").agg(F.collect_list("at").alias("at")).withColumn("heat", F.lit(None).cast("array<array<boolean>>"))
+    else:
+        each = own.select("key", F.explode(F.arrays_zip("at", "anchors")).alias("x")).select("key", F.col("x.at").alias("at"), F.col("x.anchors").alias("hot"))
+        each = each.join(hot.withColumn("is_hot", F.lit(True)), "hot", "left").groupBy("key").agg(F.collect_list(F.struct("at", F.coalesce("is_hot", F.lit(False)).alias("heat"))).alias("x"))
+        wanted = each.select("key", F.array("x.at").alias("at"), F.array("x.heat").alias("heat"))
+    wanted = wanted.join(names.select(F.col("key").alias("_k"), F.col("doc_id").alias("_d")), F.col("key") == F.col("_k")).drop("_k")
+    texts = id_text(docs).select("doc_id", "text", fingerprint(F.col("text")).alias("_k"))
+    texts = texts.join(wanted, (F.col("_k") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("key", "text", "at", "heat")
+    rows = texts.mapInArrow(tidy(_contexts), "h long, w long, key binary, lo long, p int, context binary, spans array<long>")
+    rows = rows.repartition(parts(spark), "h").sortWithinPartitions("h", "w")
+    return stored(rows.mapInArrow(tidy(_sorted_groups), "key binary, spans array<long>"))
 
 
 def dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -394,12 +494,18 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     halves of characters cut in two) for each document, and the columns to carry along."""
     spark = docs.sparkSession
     ship(spark)
-    prints = stored(fingerprints(docs))
-    copies = prints.where(F.col("n") >= SPAN).groupBy("key", "md5").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "md5", F.lit(True).alias("whole"))
-    whole = prints.join(copies, ["key", "md5"]).select("doc_id", "whole", F.lit(None).cast("array<array<long>>").alias("spans"))
-    cut = spans(docs, prints).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    info = whole.unionByName(cut.select("doc_id", F.lit(False).alias("whole"), "spans")).groupBy("doc_id").agg(F.max("whole").alias("whole"), F.first("spans", ignorenulls=True).alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
-    rows = texts.join(info, "doc_id", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans", *carry)
+    prints = stored(fingerprints(docs).where(F.col("n") >= SPAN).select("doc_id", "key"))
+    texts = stored(prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c")))
+    # All of each copy goes; the copies of one text may be very many, so they are dealt by a salt too.
+    copies = texts.where("c > 1").select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    whole = salted.join(copies, ["key", "salt"]).select("doc_id", "key").distinct().select("doc_id", "key", F.lit(True).alias("whole"), F.lit(None).cast("array<array<long>>").alias("spans"))
+    cut = spans(docs, texts).groupBy("key").agg(F.collect_list("spans").alias("spans"))
+    single = texts.where("c = 1").join(cut, "key").select("doc_id", "key", F.lit(False).alias("whole"), "spans")
+    info = whole.unionByName(single).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "whole", "spans")
+    carried = [F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carried).withColumn("key", fingerprint(F.col("text")))
+    rows = rows.join(info, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    rows = rows.select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans", *(F.col(f"_carry{k}").alias(c) for k, c in enumerate(carry)))
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return rows.mapInArrow(tidy(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string" + more)

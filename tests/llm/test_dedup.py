@@ -92,6 +92,48 @@ def test_join_edges(spark, edge, edge_rows, none):
     assert join(spark, [(1, "a b c"), (2, "A  B\nC"), (3, "a b"), (3, "a b"), (4, None), (5, " ")]) == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (0, 4), 5: (0, 5)}
 
 
+def by_row(rows):
+    """Brute force with rows, not ids, as documents: (id, set's size, component's least id) of each."""
+    comps = brute_components([(k, t) for k, (_, t) in enumerate(rows)])
+    least = collections.defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[comps[k][1]].append(i)
+    return collections.Counter((i, comps[k][0], min(least[comps[k][1]], default=None) if comps[k][0] else i) for k, (i, _) in enumerate(rows))
+
+
+def repeated_ids(seed):
+    """One id on several texts, texts without an id, and rows repeated as they are."""
+    rng = random.Random(seed)
+    a, b = (" ".join(f"{p}{rng.randrange(500)}" for _ in range(60)) for p in "xy")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (None, a + " more"), (None, "alone " * 3), (None, None)]
+    rows += [(rng.choice([1, 5, 9, None]), t) for _, t in corpus(seed, 60)]
+    return rows + [(7, a)] * 3 + rows[:3]
+
+
+@pytest.mark.parametrize("chunk", [1 << 17, 1500, 200])
+def test_join_of_repeated_and_null_ids(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rows = repeated_ids(31)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == by_row(rows)
+
+
+def test_join_of_a_large_group(spark, monkeypatch):
+    """Many chunks of near copies, with two families that share keys but aren't linked."""
+    monkeypatch.setattr(jaccard, "CHUNK", 400)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    other = base[:38] + [f"v{k}" for k in range(22)]
+    rows = []
+    for i in range(150):
+        w = list(base if i % 7 else other)
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"u{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    assert join(spark, rows) == brute_components(rows)
+
+
 def test_tree_finds_all_links():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 1 << 63, 80, dtype=np.uint64)) for _ in range(6)]
@@ -135,6 +177,47 @@ def test_cut_against_brute_force(spark, monkeypatch, chunk):
     assert cut(spark, rows) == brute_cut(rows)
 
 
+@pytest.mark.parametrize("chunk", [50_000, 3])
+def test_cut_of_repeated_and_null_ids(spark, monkeypatch, chunk):
+    """Documents are rows: a text that one id holds beside another keeps what it alone has."""
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    rows = repeated_ids(32) + [(1, "q" * 150 + "".join(map(chr, range(48, 123))) * 3)]
+    want = brute_cut([(k, t) for k, (_, t) in enumerate(rows)])
+    want = collections.Counter((rows[k][0], *x) for k, x in want.items())
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
+
+
+def test_places_are_put_together_across_slices(spark, monkeypatch):
+    """However texts fall into slices, and slices into partitions."""
+    for module in (substrings, jaccard):
+        monkeypatch.setattr(module, "SLICE_ROWS", 7)
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 3000)
+    rows = corpus(13, 70)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.dedup(df).collect()} == brute_cut(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()} == brute_components(rows)
+
+
+@pytest.mark.parametrize("g", [2, 3, 8, 9, 20])
+def test_windows_of_sorted_contexts(g):
+    """Pairs and distances give the windows that a comparison of all windows gives."""
+    rng = random.Random(g)
+    for _ in range(20):
+        core = bytes(rng.choice(b"ab") for _ in range(260))
+        group = {}
+        while len(group) < g:
+            p, n = rng.randrange(0, 101), rng.randrange(200, 301)
+            c = bytearray(core[100 - p : 100 - p + n].ljust(200, b"c"))
+            for _ in range(rng.randrange(3)):
+                c[rng.randrange(len(c))] = rng.choice(b"xyz")
+            group[p, bytes(c)] = None
+        group = list(group)
+        at = collections.Counter((p - k, c[k : k + 200]) for p, c in group for k in range(len(c) - 199) if k <= p)
+        want = [{k for k in range(len(c) - 199) if k <= p and at[p - k, c[k : k + 200]] > 1} for p, c in group]
+        assert [{k for a, b in runs for k in range(a, b + 1)} for runs in substrings.repeats(group)] == want
+
+
 def test_cut_edges(edge, edge_rows, none, sha):
     want = brute_cut([(i, t) for i, t, *_ in edge_rows])
     got = {r.doc_id: r for r in substrings.dedup(edge, carry=("lang", "source")).collect()}
