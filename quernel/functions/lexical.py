@@ -27,8 +27,9 @@ def risk_band(complexity: Column) -> Column:
     return F.when(complexity < 10, "Low").when(complexity < 20, "Medium").otherwise("High")
 
 
-def metrics(files: DataFrame, ast_complexity: str | None = None) -> DataFrame:
-    """Each file's counts; complexity is that of the syntax tree where a column holds it, else by keywords."""
+def metrics(files: DataFrame, ast_complexity: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each file's counts; complexity is that of the syntax tree where a column holds it, else by keywords.
+    keep: further columns to carry."""
     t = F.col("text")
     rows = files.withColumns({
         "lines": n_lines(t).cast("int"), "functions": F.regexp_count(t, F.lit(FUNCTION)).cast("int"), "classes": F.regexp_count(t, F.lit(CLASS)).cast("int"),
@@ -37,7 +38,7 @@ def metrics(files: DataFrame, ast_complexity: str | None = None) -> DataFrame:
     lexical = F.col("loops") + F.col("conditionals") + 1
     score = lexical if ast_complexity is None else F.coalesce(F.col(ast_complexity), lexical)
     rows = rows.withColumn("complexity_score", score.cast("int")).withColumn("risk", risk_band(F.col("complexity_score")))
-    return rows.select("repo_id", "path", "lines", "functions", "classes", "imports", "loops", "conditionals", "complexity_score", "risk")
+    return rows.select("repo_id", "path", "lines", "functions", "classes", "imports", "loops", "conditionals", "complexity_score", "risk", *keep)
 
 
 def metrics_sql() -> str:

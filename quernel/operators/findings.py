@@ -6,6 +6,8 @@ severity stays null here; each score says how it takes it.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,14 @@ def duplicate_functions(facts: DataFrame) -> DataFrame:
     return _finding(rows, 3, "Duplicate Function", "Medium", F.concat("name", F.lit(" duplicates "), "first"))
 
 
+def n_secret_rules(text: Column) -> Column:
+    """How many rules a text matches, in the projection that reads it: as many findings as secrets gives."""
+    out = F.lit(0)
+    for _, _, pattern in SECRET_RULES:
+        out = out + text.rlike(pattern).cast("int")
+    return out
+
+
 def secrets(files: DataFrame) -> DataFrame:
     """A finding for each rule that a file matches, with the number of matches."""
     found = F.array(*(F.struct(F.lit(k).alias("seq"), F.lit(t).alias("type"), F.lit(s).alias("severity"), F.regexp_count("text", F.lit(p)).alias("n")) for k, (t, s, p) in enumerate(SECRET_RULES)))
@@ -99,17 +109,33 @@ def static_findings(files: DataFrame, facts: DataFrame | None = None) -> DataFra
     return out
 
 
-def architecture(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Limits:
+    """What a repository and its modules may hold. Fixed values, unless a caller has its own."""
+
+    files: int = 100
+    lines: int = 300
+    god_lines: int = 500
+    god_functions: int = 20
+    god_classes: int = 10
+
+
+def architecture(files: DataFrame, facts: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
     """Large repositories and modules, and modules that hold too much; the last need a tree."""
+    say = lambda *x: F.concat(*(F.lit(y) if y[:1] == " " else F.col(y) for y in x))
     lines = files.select("repo_id", "path", n_lines(F.col("text")).cast("int").alias("lines"))
-    size = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where("n > 100")
-    big = _finding(size.select("repo_id", F.lit(None).cast("string").alias("path"), F.lit(0).alias("seq"), "n"), 0, "Large Repository", "Medium", F.concat(F.lit("Repository contains "), "n", F.lit(" files.")))
-    large = _finding(lines.where("lines > 300").withColumn("seq", F.lit(0)), 1, "Large Module", "Medium", F.concat("path", F.lit(" has "), "lines", F.lit(" lines.")))
-    out = big.unionByName(large)
+    size = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limits.files)
+    size = size.select("repo_id", F.lit(None).cast("string").alias("path"), F.lit(0).alias("seq"), "n")
+    out = _finding(size, 0, "Large Repository", "Medium", F.concat(F.lit("Repository contains "), "n", F.lit(" files.")))
+    large = lines.where(F.col("lines") > limits.lines).withColumn("seq", F.lit(0))
+    out = out.unionByName(_finding(large, 1, "Large Module", "Medium", say("path", " has ", "lines", " lines.")))
     if facts is None:
         return out
-    rows = facts.where("kind = 'module'").select("repo_id", "path", "seq", F.col("b").alias("nf"), F.col("c").alias("nc")).join(lines, ["repo_id", "path"]).where("lines > 500 OR nf > 20 OR nc > 10")
-    return out.unionByName(_finding(rows, 2, "God Module", "High", F.concat("path", F.lit(" has "), "lines", F.lit(" lines, "), "nf", F.lit(" functions, "), "nc", F.lit(" classes."))))
+    rows = facts.where("kind = 'module'").select("repo_id", "path", "seq", F.col("b").alias("nf"), F.col("c").alias("nc"))
+    rows = rows.join(lines, ["repo_id", "path"])
+    rows = rows.where((F.col("lines") > limits.god_lines) | (F.col("nf") > limits.god_functions) | (F.col("nc") > limits.god_classes))
+    message = say("path", " has ", "lines", " lines, ", "nf", " functions, ", "nc", " classes.")
+    return out.unionByName(_finding(rows, 2, "God Module", "High", message))
 
 
 def added_lines(diffs: DataFrame, fixed: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,13 @@ def _of(label: str, c: Column) -> Column:
     return F.concat(F.lit(label), c.cast("string"))
 
 
+def _first(rows: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """(repo_id, x): the first n rows of each repository. The others are dropped before rows meet."""
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(*order))
+    rows = rows.withColumn("_place", place).where(F.col("_place") <= n)
+    return rows.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("_place", *(c for c in rows.columns if c not in ("repo_id", "_place"))))).alias("x"))
+
+
 def findings_text(found: DataFrame, strict: bool = False) -> DataFrame:
     """(repo_id, file, report) with a block for each finding, in order. Missing types and severities
     are Unknown; strict raises on them and ends with two line ends."""
@@ -26,7 +33,7 @@ def findings_text(found: DataFrame, strict: bool = False) -> DataFrame:
 
 def executive_summary(scores: DataFrame, found: DataFrame) -> DataFrame:
     """scores (repo_id, score, static_score, security_score, critical, high, medium, low) and the first five finding types."""
-    first = found.groupBy("repo_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("file", "ord", "seq", "type"))), 1, 5).alias("x"))
+    first = _first(found.select("repo_id", "file", "ord", "seq", "type"), ["file", "ord", "seq"])
     rows = scores.join(first, "repo_id", "left")
     top = F.array_join(F.transform("x", lambda x: F.concat(F.lit("- "), x["type"])), "\n")
     text = _lines(
@@ -38,7 +45,7 @@ def executive_summary(scores: DataFrame, found: DataFrame) -> DataFrame:
 
 def repository_executive_summary(counts: DataFrame, risks: DataFrame) -> DataFrame:
     """counts (repo_id, files, critical, high, medium, low, health_score) and the five riskiest files."""
-    top = risks.groupBy("repo_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("risk_score")).alias("r"), "file"))), 1, 5).alias("x"))
+    top = _first(risks.select("repo_id", (-F.col("risk_score")).alias("r"), "file"), ["r", "file"])
     files = F.array_join(F.transform("x", lambda x: F.concat(F.lit("- "), x["file"], F.lit(" ("), (-x["r"]).cast("string"), F.lit(")"))), "\n")
     text = _lines(
         _of("Files Analyzed: ", F.col("files")), "", _of("Critical Findings: ", F.col("critical")), _of("High Findings: ", F.col("high")), _of("Medium Findings: ", F.col("medium")), _of("Low Findings: ", F.col("low")), "",

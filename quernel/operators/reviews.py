@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.operators.findings import PERFORMANCE_TYPES, SMELL_TYPES, is_security
-from quernel.plans.shared import ship
+from quernel.plans.shared import ship, stored
 from quernel.sources.files import belongs
 
 #: Headings that end a section, and what stands for a missing one.
@@ -67,33 +67,72 @@ def stub_reviewer(prompt: str) -> str:
     return f"### Overall Code Quality Score\n\n{max(0, 100 - len(prompt) // 100)}/100\n\nSeverity: Low\n"
 
 
-def prompts(files: DataFrame, findings_text: DataFrame) -> DataFrame:
+#: What a reviewer is asked: before the source code, before the findings, and after them.
+REVIEW = (
+    "You review source code. Take the static findings below as proven and explain them.\n"
+    "Cover bugs, security vulnerabilities, code smells, performance, complexity and refactorings.\n"
+    "For each give its category, its severity (Critical, High, Medium, Low), why it matters and what to do, the gravest first.\n"
+    "End with how ready the code is for use, a score as n/100, the number of issues of each severity and a verdict.\n\n"
+    "Source code:\n\n"
+)
+FINDINGS = "\n\nStatic findings:\n\n"
+QUESTIONS = "\n\nExplain:\n1. Why these findings matter\n2. What they mean for security\n3. What they cost in speed\n4. What they cost in upkeep\n5. How to mend them\n"
+FIX = "You mend source code.\n\nSource code:\n\n"
+FIXES = "\n\nGive, as Markdown:\n1. A fix for each finding\n2. The code as it should be\n3. Gains in security\n4. Gains in speed\n5. Refactorings\n"
+NO_FINDINGS = "No static analysis findings."
+
+
+def prompts(files: DataFrame, findings_text: DataFrame, before: str = REVIEW, after: str = QUESTIONS) -> DataFrame:
     """(repo_id, path, prompt): what a reviewer gets to see of each file."""
-    rows = files.select("repo_id", "path", "text").join(findings_text.select("repo_id", F.col("file").alias("path"), "report"), ["repo_id", "path"], "left")
-    ask = F.lit("Review this source code. Name bugs, security, smells, performance, complexity and refactorings, each with severity, explanation and recommendation; end with a score from 0 to 100.\n\n")
-    return rows.select("repo_id", "path", F.concat(ask, "text", F.lit("\n\nStatic findings:\n\n"), F.coalesce("report", F.lit("No static analysis findings."))).alias("prompt"))
+    report = findings_text.select("repo_id", F.col("file").alias("path"), "report")
+    rows = files.select("repo_id", "path", "text").join(report, ["repo_id", "path"], "left")
+    parts = [F.lit(before), F.col("text"), F.lit(FINDINGS), F.coalesce("report", F.lit(NO_FINDINGS)), F.lit(after)]
+    return rows.select("repo_id", "path", F.concat(*parts).alias("prompt"))
 
 
-def review(asked: DataFrame, reviewer: Callable[[str], str] = stub_reviewer, most: int | None = 3) -> DataFrame:
-    """(repo_id, file, review): reviews of at most `most` files of each repository, by path; a review
-    that fails doesn't count, so the next file takes its place."""
-    ship(asked.sparkSession)
-    names = ["repo_id", "path", "review"]
+def fix_prompts(files: DataFrame, findings_text: DataFrame) -> DataFrame:
+    """The same, asking for fixes."""
+    return prompts(files, findings_text, FIX, FIXES)
+
+
+def _asked(rows: DataFrame, reviewer: Callable[[str], str]) -> DataFrame:
+    """(repo_id, path, review) of rows (repo_id, path, prompt); a review that fails is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[str, int] = {}
         for batch in batches:
-            rows = []
-            for repo, path, prompt in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if most is None or done.get(repo, 0) < most:
-                    try:
-                        rows.append((repo, path, reviewer(prompt)))
-                        done[repo] = done.get(repo, 0) + 1
-                    except Exception:  # noqa: BLE001  whatever a reviewer may raise
-                        continue
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+            got = []
+            for prompt in batch.column(2).to_pylist():
+                try:
+                    got.append(reviewer(prompt))
+                except Exception:  # noqa: BLE001  whatever a reviewer may raise
+                    got.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string())], ["repo_id", "path", "review"])
 
+    return rows.select("repo_id", "path", "prompt").mapInArrow(run, "repo_id string, path string, review string")
+
+
+def review(asked: DataFrame, reviewer: Callable[[str], str] = stub_reviewer, most: int | None = 3) -> DataFrame:
+    """(repo_id, file, review): reviews of the first `most` files of each repository, by path, that can
+    be reviewed; a review that fails doesn't count, so the next file takes its place.
+
+    The first files of all repositories are reviewed at once, then twice as many of those that lack
+    some, and so on; so prompts stay where they are and only names are ranked.
+    """
+    ship(asked.sparkSession)
     rows = asked.where(belongs(F.col("path"), "reviewer")).select("repo_id", "path", "prompt")
-    rows = rows.repartition("repo_id").sortWithinPartitions("repo_id", "path")
-    return rows.mapInArrow(run, "repo_id string, path string, review string").withColumnRenamed("path", "file")
+    if most is None:
+        return _asked(rows, reviewer).where("review IS NOT NULL").withColumnRenamed("path", "file")
+    by = Window.partitionBy("repo_id").orderBy("path")
+    names = stored(rows.select("repo_id", "path").withColumn("place", F.row_number().over(by)))
+    done, open_, seen, step = None, names.select("repo_id").distinct(), 0, most
+    while True:
+        part = names.where((F.col("place") > seen) & (F.col("place") <= seen + step)).join(open_, "repo_id", "left_semi")
+        if done is not None and part.isEmpty():
+            break
+        got = stored(_asked(rows.join(part, ["repo_id", "path"], "left_semi"), reviewer).where("review IS NOT NULL"))
+        done = got if done is None else done.unionByName(got)
+        enough = done.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
+        open_ = names.select("repo_id").distinct().join(enough, "repo_id", "left_anti")
+        seen, step = seen + step, 2 * step
+    rows = done.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)
+    return rows.select("repo_id", F.col("path").alias("file"), "review")

@@ -16,7 +16,9 @@ SEVERITIES = ("Critical", "High", "Medium", "Low")
 STATIC = ({"Critical": 20, "High": 10, "Medium": 5, "Low": 2}, 0, 2)
 SECURITY = ({"Critical": 15, "High": 10, "Medium": 5, "Low": 2}, 2, 2)
 FILE_RISK = ({"Critical": 20, "High": 10, "Medium": 5, "Low": 2}, 2, 2)
+#: Points of architecture findings.
 ARCHITECTURE = {"God Module": 15, "Large Module": 5, "Large Repository": 3}
+#: Findings with a known fix.
 FIXES = {
     "Unused Import": "Remove the unused import statement.",
     "Unused Variable": "Remove the variable or use it where intended.",
@@ -119,13 +121,18 @@ def grade(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").when(score >= 40, "D").otherwise("F")
 
 
-def debt(metrics: DataFrame, found: DataFrame) -> DataFrame:
-    """(repo_id, file, score, grade, issues, complexity, loc) of each file, the worst first."""
-    n = found.groupBy("repo_id", F.col("file").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("issues"))
-    rows = metrics.join(n, ["repo_id", "path"], "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
-    score = F.greatest(F.lit(0), 100 - 5 * F.col("issues") - 2 * F.col("complexity_score") - F.when(F.col("lines") > 500, 10).otherwise(0)).cast("int")
-    rows = rows.withColumn("score", score)
-    return rows.select("repo_id", F.col("path").alias("file"), "score", grade(F.col("score")).alias("grade"), "issues", F.col("complexity_score").alias("complexity"), F.col("lines").alias("loc"))
+def debt(metrics: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(repo_id, file, score, grade, issues, complexity, loc) of each file, the least score first, ties by
+    name. Issues are counted in found, or stand in metrics already."""
+    rows = metrics
+    if found is not None:
+        n = found.groupBy("repo_id", F.col("file").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("issues"))
+        rows = metrics.join(n, ["repo_id", "path"], "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
+    lost = 5 * F.col("issues") + 2 * F.col("complexity_score") + F.when(F.col("lines") > 500, 10).otherwise(0)
+    rows = rows.withColumn("score", F.greatest(F.lit(0), 100 - lost).cast("int"))
+    size = [F.col("complexity_score").alias("complexity"), F.col("lines").alias("loc")]
+    rows = rows.select("repo_id", F.col("path").alias("file"), "score", grade(F.col("score")).alias("grade"), "issues", *size)
+    return rows.orderBy("score", "repo_id", "file")
 
 
 def repository_debt(debts: DataFrame) -> DataFrame:

@@ -30,8 +30,9 @@ class Repository:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """Every file of the wide policy is parsed once; what isn't Python has a parse error."""
-        return stored(ast_facts(self.of("wide").unionByName(self.of("python")).dropDuplicates(["repo_id", "path"])))
+        """Every file that some panel parses, once; what isn't Python has a parse error."""
+        path = F.col("path")
+        return stored(ast_facts(self.files.where(belongs(path, "wide") | belongs(path, "explorer"))))
 
     @cached_property
     def complexity(self) -> DataFrame:
@@ -50,8 +51,9 @@ class Repository:
 
     @cached_property
     def all_findings(self) -> DataFrame:
-        """Of all files, for debt and security."""
-        return stored(findings.static_findings(self.of("wide"), self.facts))
+        """Of all files of the wide policy, for debt and security."""
+        wide = self.facts.where(belongs(F.col("path"), "wide"))
+        return stored(findings.static_findings(self.of("wide"), wide))
 
     @property
     def findings(self) -> DataFrame:
@@ -112,12 +114,20 @@ class Repository:
 
     @property
     def dependencies(self) -> dict[str, DataFrame]:
-        """The graph's panels in one."""
+        """The graph's panels in one. cycles lists those of at most four modules; on_cycles has the
+        modules of all, whatever their length."""
         inner = self.edges.where("internal")
         return {
-            "modules": self.modules, "edges": self.edges, "degrees": self.degrees, "counts": graph.dependency_counts(self.edges), "cycles": graph.cycles(inner),
-            "most_depended": graph.top(self.degrees, "imported_by"), "most_dependent": graph.top(self.degrees, "imports"), "json": graph.node_link(self.modules, self.edges),
-        }
+            "modules": self.modules,
+            "edges": self.edges,
+            "degrees": self.degrees,
+            "counts": graph.dependency_counts(self.edges),
+            "cycles": graph.cycles(inner),
+            "on_cycles": graph.on_cycles(inner),
+            "most_depended": graph.top(self.degrees, "imported_by"),
+            "most_dependent": graph.top(self.degrees, "imports"),
+            "json": graph.node_link(self.modules, self.edges),
+        }
 
     @property
     def reviews(self) -> DataFrame:

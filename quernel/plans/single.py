@@ -74,8 +74,7 @@ class Single:
     @property
     def suggested_fixes(self) -> DataFrame:
         """A reviewer's word on the findings."""
-        asked = reviews.prompts(self.files, self.report).withColumn("prompt", F.concat(F.lit("Suggest a fix for each finding.\n\n"), "prompt"))
-        return reviews.review(asked, self.reviewer)
+        return reviews.review(reviews.fix_prompts(self.files, self.report), self.reviewer)
 
     @property
     def summary(self) -> DataFrame:

@@ -1,40 +1,24 @@
 """The registered queries of the core library, with their SQL.
 
 The driver's tables stand in for repositories: documents are files and their sources repositories,
-orders are findings by their priority, trade between nations is the module graph.
+orders are findings by their priority. In the module graph parts are modules and quarters
+repositories: a line of an order imports the part of the order's next line. codebase.py has source
+code made from the part table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel import codebase  # noqa: F401  registers its queries
 from quernel.functions import lexical
 from quernel.functions.astfacts import ast_facts
 from quernel.operators import findings, graph, rankings, reports, reviews, scores
 from quernel.plans.shared import stored
+from quernel.registry import QUERIES, SQL, Query, query, table
 from quernel.sources.files import SCHEMA, from_table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_table(table(spark, sf_dir, "documents"))
@@ -106,12 +90,9 @@ UNION ALL SELECT repo_id, path, 1, 'Large Module', 'Medium', path || ' has ' ||
 
 
 def _architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents are short: lower thresholds than the operator's own."""
-    m = lexical_metrics(spark, sf_dir)
-    big = m.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where("n > 40")
-    big = big.select("repo_id", F.lit(None).cast("string").alias("file"), F.lit(0).alias("ord"), F.lit("Large Repository").alias("type"), F.lit("Medium").alias("severity"), F.concat(F.lit("Repository contains "), "n", F.lit(" files.")).alias("message"))
-    large = m.where("lines > 30").select("repo_id", F.col("path").alias("file"), F.lit(1).alias("ord"), F.lit("Large Module").alias("type"), F.lit("Medium").alias("severity"), F.concat("path", F.lit(" has "), "lines", F.lit(" lines.")).alias("message"))
-    return big.unionByName(large)
+    """The documents are short: lower limits than the operator's own."""
+    rows = findings.architecture(files(spark, sf_dir), limits=findings.Limits(files=40, lines=30))
+    return rows.select("repo_id", "file", "ord", "type", "severity", "message")
 
 
 @query(f"WITH {_ARCH} SELECT * FROM arch")
@@ -198,11 +179,23 @@ def findings_by_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.by_theme(order_findings(spark, sf_dir)).groupBy("theme", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P') UNION ALL SELECT 'part', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_quantity = 50)")
+@query("""SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
+UNION ALL SELECT 'part', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)
+UNION ALL SELECT 'order', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)
+UNION ALL SELECT 'document', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
 def unused_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda n: table(spark, sf_dir, n)
-    idle = t("customer").join(t("orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"))
-    return idle.unionByName(t("part").join(t("lineitem").where("l_quantity = 50"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id")))
+    """What no row of another table names, as an unused import is named by no expression."""
+    out = None
+    for kind, own, key, other, ref in (
+        ("customer", "customer", "c_custkey", "orders", "o_custkey"),
+        ("part", "part", "p_partkey", "lineitem", "l_partkey"),
+        ("order", "orders", "o_orderkey", "lineitem", "l_orderkey"),
+        ("document", "documents", "doc_id", "labels", "doc_id"),
+    ):
+        named = table(spark, sf_dir, other).select(F.col(ref).alias("id")).distinct()
+        rows = table(spark, sf_dir, own).select(F.lit(kind).alias("kind"), F.col(key).alias("id")).join(named, "id", "left_anti").select("kind", "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("SELECT doc_id, first AS duplicates FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first")
@@ -213,77 +206,78 @@ def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(first, "key").where("doc_id <> duplicates").select("doc_id", "duplicates")
 
 
-_TRADE = """trade AS (SELECT DISTINCT s.n_name AS src, c.n_name AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c_nationkey = c.n_nationkey
-  JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey WHERE l_quantity = 50 AND l_returnflag = 'R' AND l_discount >= 0.075)"""
-
+_LINES = """l AS (SELECT DISTINCT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS repo_id, l_orderkey, l_linenumber, 'p' || l_partkey AS module, l_partkey, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+known AS (SELECT DISTINCT repo_id, module FROM l),
+links AS (SELECT DISTINCT a.repo_id, a.module AS src, b.module AS dst, b.l_partkey FROM l a JOIN l b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"""
+_EDGES = f"{_LINES}, e AS (SELECT repo_id, src, dst, p_size > 5 AS internal FROM links JOIN part ON l_partkey = p_partkey)"
+_DEGREES = f"""{_EDGES},
+ex AS (SELECT repo_id, src AS module, count(*) FILTER (WHERE internal)::INTEGER AS imports, count(*) FILTER (WHERE NOT internal)::INTEGER AS external_imports FROM e GROUP BY ALL),
+im AS (SELECT repo_id, dst AS module, count(*)::INTEGER AS imported_by FROM e WHERE internal GROUP BY ALL),
+d AS (SELECT repo_id, module, coalesce(imports, 0) AS imports, coalesce(imported_by, 0) AS imported_by, coalesce(external_imports, 0) AS external_imports
+  FROM known LEFT JOIN ex USING (repo_id, module) LEFT JOIN im USING (repo_id, module))"""
 
-def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges (src, dst): whose suppliers sold to whose customers in a few large returned lines."""
-    t = lambda n: table(spark, sf_dir, n)
-    line = t("lineitem").where("l_quantity = 50 AND l_returnflag = 'R' AND l_discount >= 0.075").select("l_orderkey", "l_suppkey")
-    rows = line.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    n = t("nation")
-    rows = rows.join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("src")), "s_nationkey").join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("dst")), "c_nationkey")
-    return rows.select("src", "dst").distinct()
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.year("o_orderdate"), F.lit("Q"), F.quarter("o_orderdate")).alias("repo_id"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    return line.join(o, "l_orderkey").withColumn("module", F.concat(F.lit("p"), "l_partkey"))
 
-def _trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    n = table(spark, sf_dir, "nation")
-    known = n.select(F.lit("trade").alias("repo_id"), F.col("n_name").alias("module"))
-    # Nations of one region's first letter are external.
-    inside = n.where("n_regionkey <> 0").select(F.col("n_name").alias("dst"), F.lit(True).alias("inside"))
-    e = trade(spark, sf_dir).join(inside, "dst", "left").select(F.lit("trade").alias("repo_id"), "src", "dst", F.coalesce("inside", F.lit(False)).alias("internal"))
-    return known, e
 
+def _order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(repo_id, module) and edges (repo_id, src, dst, internal); parts of small size are external."""
+    rows = _lines(spark, sf_dir)
+    after = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("module").alias("dst"), F.col("l_partkey").alias("p_partkey"))
+    e = rows.join(after, ["l_orderkey", "l_linenumber"]).select("repo_id", F.col("module").alias("src"), "dst", "p_partkey").distinct()
+    size = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") > 5).alias("internal"))
+    return rows.select("repo_id", "module").distinct(), e.join(size, "p_partkey").select("repo_id", "src", "dst", "internal")
 
-_EDGES = f"{_TRADE}, e AS (SELECT src, dst, n_regionkey <> 0 AS internal FROM trade JOIN nation ON n_name = dst)"
-_DEGREES = f"""{_EDGES}, d AS (SELECT n_name AS module, (SELECT count(*) FROM e WHERE src = n_name AND internal)::INTEGER AS imports,
-  (SELECT count(*) FROM e WHERE dst = n_name AND internal)::INTEGER AS imported_by, (SELECT count(*) FROM e WHERE src = n_name AND NOT internal)::INTEGER AS external_imports FROM nation)"""
 
-
-@query(f"WITH {_EDGES} SELECT 'trade' AS repo_id, src, dst, internal FROM e")
+@query(f"WITH {_EDGES} SELECT * FROM e")
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trade_graph(spark, sf_dir)[1]
+    return _order_graph(spark, sf_dir)[1]
 
 
-@query(f"WITH {_DEGREES} SELECT 'trade' AS repo_id, * FROM d")
+@query(f"WITH {_DEGREES} SELECT * FROM d")
 def degree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(*_trade_graph(spark, sf_dir))
+    return graph.degrees(*_order_graph(spark, sf_dir))
 
 
-@query(f"WITH {_EDGES} SELECT 'trade' AS repo_id, count(*) FILTER (WHERE internal) AS internal, count(*) FILTER (WHERE NOT internal) AS external FROM e HAVING count(*) > 0")
+@query(f"WITH {_EDGES} SELECT repo_id, count(*) FILTER (WHERE internal) AS internal, count(*) FILTER (WHERE NOT internal) AS external FROM e GROUP BY repo_id")
 def dependency_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dependency_counts(import_edges(spark, sf_dir))
 
 
-@query(f"WITH {_DEGREES} SELECT 'trade' AS repo_id, * FROM d ORDER BY imported_by DESC, module LIMIT 10")
+@query(f"WITH {_DEGREES} SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY imported_by DESC, module) <= 10")
 def most_depended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top(degree_counts(spark, sf_dir), "imported_by")
 
 
-@query(f"WITH {_DEGREES} SELECT 'trade' AS repo_id, * FROM d ORDER BY imports DESC, module LIMIT 10")
+@query(f"WITH {_DEGREES} SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY imports DESC, module) <= 10")
 def most_dependent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top(degree_counts(spark, sf_dir), "imports")
 
 
-@query(f"""WITH {_TRADE}, b AS (SELECT src AS a, dst AS b FROM trade UNION SELECT dst, src FROM trade), n AS (SELECT n_name FROM nation)
-SELECT n_name AS center, n_name AS node FROM n UNION SELECT n_name, b FROM n JOIN b ON a = n_name UNION SELECT n_name, y.b FROM n JOIN b x ON x.a = n_name JOIN b y ON y.a = x.b""")
+@query(f"""WITH {_EDGES}, b AS (SELECT repo_id, src AS a, dst AS b FROM e UNION SELECT repo_id, dst, src FROM e)
+SELECT repo_id, module AS center, module AS node FROM known UNION SELECT repo_id, a, b FROM b UNION SELECT x.repo_id, x.a, y.b FROM b x JOIN b y ON y.repo_id = x.repo_id AND y.a = x.b""")
 def two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbourhood(trade(spark, sf_dir), table(spark, sf_dir, "nation").select(F.col("n_name").alias("node")))
+    known, e = _order_graph(spark, sf_dir)
+    return graph.neighbourhood(e, known.withColumnRenamed("module", "node"))
 
 
-@query(f"""WITH {_TRADE} SELECT src || '>' || dst AS path FROM trade WHERE src = dst
-UNION SELECT a.src || '>' || a.dst || '>' || a.src FROM trade a JOIN trade b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
-UNION SELECT a.src || '>' || a.dst || '>' || b.dst || '>' || a.src FROM trade a JOIN trade b ON b.src = a.dst JOIN trade c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
+@query(f"""WITH {_EDGES}, t AS (SELECT repo_id, src, dst FROM e)
+SELECT repo_id, src || '>' || dst AS path FROM t WHERE src = dst
+UNION SELECT a.repo_id, a.src || '>' || a.dst || '>' || a.src FROM t a JOIN t b ON b.repo_id = a.repo_id AND b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
+UNION SELECT a.repo_id, a.src || '>' || a.dst || '>' || b.dst || '>' || a.src FROM t a JOIN t b ON b.repo_id = a.repo_id AND b.src = a.dst
+  JOIN t c ON c.repo_id = a.repo_id AND c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
 def cycles_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(stored(trade(spark, sf_dir)), 3).select(F.array_join("path", ">").alias("path"))
+    """Cycles of at most three modules: the length is the query's."""
+    return graph.cycles(stored(import_edges(spark, sf_dir)), 3).select("repo_id", F.array_join("path", ">").alias("path"))
 
 
-@query(f"""WITH RECURSIVE {_TRADE}, r(a, b) AS (SELECT src, dst FROM trade UNION SELECT a, dst FROM r JOIN trade ON b = src)
-SELECT a AS node, least(a, min(b)) AS component FROM r WHERE EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = r.a) GROUP BY a""")
+@query(f"""WITH RECURSIVE {_EDGES}, r(repo_id, a, b) AS (SELECT repo_id, src, dst FROM e UNION SELECT r.repo_id, a, dst FROM r JOIN e ON e.repo_id = r.repo_id AND b = src)
+SELECT x.repo_id, x.a AS node, min(x.b) AS component FROM r x JOIN r y ON y.repo_id = x.repo_id AND y.a = x.b AND y.b = x.a GROUP BY ALL""")
 def nodes_on_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.on_cycles(trade(spark, sf_dir))
+    return graph.on_cycles(import_edges(spark, sf_dir))
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[/.]+', '.', 'g') AS name FROM pages WHERE url IS NOT NULL), k AS (SELECT DISTINCT regexp_extract(name, '^[^.]+(\.[^.]+)?') AS module FROM p),
@@ -304,7 +298,9 @@ _GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >=
 
 @query(f"WITH {_DEBT} SELECT *, {_GRADE} AS grade FROM debt")
 def debt_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.debt(lexical_metrics(spark, sf_dir), secret_findings(spark, sf_dir))
+    """Metrics and rules in one projection over one scan."""
+    rows = files(spark, sf_dir).withColumn("issues", findings.n_secret_rules(F.col("text")))
+    return scores.debt(lexical.metrics(rows, keep=("issues",)))
 
 
 @query(f"WITH {_DEBT} SELECT repo_id, floor(avg(score) * 100 + 0.5) / 100 AS debt_score, count(*) AS files FROM debt GROUP BY repo_id")
@@ -312,33 +308,47 @@ def debt_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.repository_debt(debt_by_document(spark, sf_dir))
 
 
-_NATION_DEBT = "nd AS (SELECT n_name AS module, (100 - n_nationkey * 3)::INTEGER AS score FROM nation WHERE n_nationkey % 4 <> 0)"
-_RISK = f"{_DEGREES}, {_NATION_DEBT}, risk AS (SELECT d.module, (2 * imports + 3 * imported_by + external_imports + coalesce(100 - score, 0))::INTEGER AS risk_score, coalesce(100 - score, 0)::INTEGER AS technical_debt, imports, imported_by, external_imports FROM d LEFT JOIN nd ON nd.module = d.module)"
+# A part's returned lines of a quarter are its debt; parts without any have no score.
+_RISK = f"""{_DEGREES},
+nd AS (SELECT repo_id, module, greatest(0, 100 - 20 * count(*))::INTEGER AS score FROM l WHERE l_returnflag = 'R' GROUP BY ALL),
+nc AS (SELECT repo_id, module, count(*)::INTEGER AS c FROM l GROUP BY ALL),
+risk AS (SELECT repo_id, module, (2 * imports + 3 * imported_by + external_imports + coalesce(100 - score, 0))::INTEGER AS risk_score, coalesce(100 - score, 0)::INTEGER AS technical_debt,
+  imports, imported_by, external_imports FROM d LEFT JOIN nd USING (repo_id, module))"""
 
 
-def _nation_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").where("n_nationkey % 4 <> 0").select(F.lit("trade").alias("repo_id"), F.concat("n_name", F.lit(".py")).alias("file"), (100 - F.col("n_nationkey") * 3).cast("int").alias("score"))
+def _part_file(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("file", F.concat("module", F.lit(".py")))
 
 
-@query(f"WITH {_RISK} SELECT 'trade' AS repo_id, * FROM risk")
-def module_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rankings.module_risk(degree_counts(spark, sf_dir), rankings.debt_by_module(_nation_debt(spark, sf_dir)))
+def _part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("repo_id", "l_orderkey", "l_linenumber", "module", "l_partkey", "l_returnflag").distinct()
 
 
-def _nation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.lit("trade").alias("repo_id"), F.concat("n_name", F.lit(".py")).alias("path"), (F.col("n_nationkey") % 7).cast("int").alias("complexity_score"))
+def _part_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _part_lines(spark, sf_dir).where("l_returnflag = 'R'").groupBy("repo_id", "module")
+    return _part_file(rows.agg(F.greatest(F.lit(0), 100 - 20 * F.count(F.lit(1))).cast("int").alias("score"))).drop("module")
 
 
-@query(f"WITH {_RISK} SELECT 'trade' AS repo_id, module, risk_score AS priority_score, risk_score, 0 AS complexity, 100 AS technical_debt FROM risk")
+def _part_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _part_lines(spark, sf_dir).groupBy("repo_id", "module").agg(F.count(F.lit(1)).cast("int").alias("complexity_score"))
+    return _part_file(rows).withColumnRenamed("file", "path").drop("module")
+
+
+@query(f"WITH {_RISK} SELECT * FROM risk")
+def module_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankings.module_risk(degree_counts(spark, sf_dir), rankings.debt_by_module(_part_debt(spark, sf_dir)))
+
+
+@query(f"WITH {_RISK} SELECT repo_id, module, risk_score AS priority_score, risk_score, 0 AS complexity, 100 AS technical_debt FROM risk")
 def refactoring_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rankings.refactoring(module_risk(spark, sf_dir), _nation_metrics(spark, sf_dir), _nation_debt(spark, sf_dir))
+    return rankings.refactoring(module_risk(spark, sf_dir), _part_metrics(spark, sf_dir), _part_debt(spark, sf_dir))
 
 
-@query(f"""WITH {_RISK} SELECT 'trade' AS repo_id, r.module, (risk_score + n_nationkey % 7 + 100 - coalesce(score, 100))::INTEGER AS priority_score, risk_score, (n_nationkey % 7)::INTEGER AS complexity, coalesce(score, 100)::INTEGER AS technical_debt
-FROM risk r JOIN nation ON n_name = r.module LEFT JOIN nd ON nd.module = r.module""")
+@query(f"""WITH {_RISK} SELECT r.repo_id, r.module, (risk_score + c + 100 - coalesce(score, 100))::INTEGER AS priority_score, risk_score, c AS complexity, coalesce(score, 100)::INTEGER AS technical_debt
+FROM risk r JOIN nc USING (repo_id, module) LEFT JOIN nd USING (repo_id, module)""")
 def refactoring_priority_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "nation").select(F.lit("trade").alias("repo_id"), F.col("n_name").alias("module"), F.concat("n_name", F.lit(".py")).alias("path"))
-    return rankings.refactoring(module_risk(spark, sf_dir), _nation_metrics(spark, sf_dir), _nation_debt(spark, sf_dir), known)
+    known = _part_file(_order_graph(spark, sf_dir)[0]).withColumnRenamed("file", "path")
+    return rankings.refactoring(module_risk(spark, sf_dir), _part_metrics(spark, sf_dir), _part_debt(spark, sf_dir), known)
 
 
 @query("""WITH d AS (SELECT event_type, ts::DATE AS day, count(*)::INTEGER AS n FROM events GROUP BY ALL), h AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY event_type ORDER BY day), 65) AS old FROM d)
@@ -359,6 +369,21 @@ def review_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.parsed(rows).select("conv_id", "turn", F.coalesce("score", F.lit(-1)).alias("score"), "critical", "high", "medium", "low")
 
 
+#: A review's parts, as a reviewer may order them; the second turn's lacks some.
+_PARTS = ("'Security Vulnerabilities: turn ' || turn", "'Performance Issues of ' || conv_id || chr(10) || 'more'", "'Code Smell here, ' || role")
+
+
+@query(f"""WITH c AS (SELECT * FROM conversations WHERE role IS NOT NULL)
+SELECT conv_id, turn, {_PARTS[0]} AS security, CASE WHEN turn % 2 = 0 THEN {_PARTS[1]} ELSE 'No performance issues detected.' END AS performance,
+  CASE WHEN turn % 3 = 0 THEN {_PARTS[2]} ELSE 'No code smells detected.' END AS smells FROM c""")
+def review_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where("role IS NOT NULL")
+    security, performance, smells = (F.expr(p.replace("chr(10)", "'\\n'")) for p in _PARTS)
+    end = F.concat(F.lit("\n\n#### "), F.col("turn").cast("string"), F.lit(". next\n"))
+    review = F.concat(F.lit("Intro\n"), security, end, F.when(F.col("turn") % 2 == 0, F.concat(performance, end)).otherwise(""), F.when(F.col("turn") % 3 == 0, F.concat(smells, F.lit("  \n### Overall Code Quality Score\n"))).otherwise(""))
+    return reviews.parsed(c.select("conv_id", "turn", review.alias("review"))).select("conv_id", "turn", "security", "performance", "smells")
+
+
 @query(f"""WITH {_SECRETS} SELECT repo_id, file, string_agg('Type: ' || type || chr(10) || 'Severity: ' || severity || chr(10) || 'Message: ' || message || chr(10) || 'Count: ' || count || chr(10), chr(10) ORDER BY seq) AS report FROM f GROUP BY ALL""")
 def findings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.findings_text(secret_findings(spark, sf_dir))
@@ -409,9 +434,11 @@ _PACKAGE = {
     "pkg/b.py": "from pkg import a, b\nfrom ..other import y\nimport os.path\n",
     "other.py": "from pkg.sub.deep import q\nimport pkg.a as z\n",
     "pkg/sub/__init__.py": "",
+    "__init__.py": "",
+    "top.py": "from . import other\n",
 }
 _PACKAGE_EDGES = (
-    ("pkg", "a", False), ("pkg", "os", False), ("pkg.a", "pkg.b", True), ("pkg.a", "pkg", True), ("pkg.a", "pkg.a", True), ("pkg.b", "pkg", True), ("pkg.b", "other", True), ("pkg.b", "os.path", False), ("other", "pkg.sub", True), ("other", "pkg.a", True),
+    ("pkg", "a", False), ("pkg", "os", False), ("pkg.a", "pkg.b", True), ("pkg.a", "pkg", True), ("pkg.a", "pkg.a", True), ("pkg.b", "pkg", True), ("pkg.b", "other", True), ("pkg.b", "os.path", False), ("other", "pkg.sub", True), ("other", "pkg.a", True), ("top", "other", True),
 )
 
 
@@ -437,8 +464,8 @@ def pr_review_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

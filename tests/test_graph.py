@@ -6,7 +6,7 @@ from quernel.operators import graph
 
 
 def edges(spark, pairs):
-    return spark.createDataFrame(list(pairs), "src string, dst string")
+    return spark.createDataFrame([("r", *p) for p in pairs], "repo_id string, src string, dst string")
 
 
 def brute_cycles(pairs, longest):
@@ -32,7 +32,23 @@ def test_cycles_and_components(spark):
     for pairs in cases:
         e = edges(spark, pairs)
         assert {tuple(r.path) for r in graph.cycles(e, 4).collect()} == brute_cycles(pairs, 4)
-        assert {tuple(r) for r in graph.on_cycles(e).collect()} == brute_components(pairs)
+        assert {(r.node, r.component) for r in graph.on_cycles(e).collect()} == brute_components(pairs)
+
+
+def test_repositories_stay_apart(spark):
+    """No cycle, neighbour or end goes from one repository to another."""
+    e = spark.createDataFrame([("r1", "a", "b"), ("r2", "b", "a"), ("r2", "a", "c"), ("r3", "a", "b"), ("r3", "b", "a")], "repo_id string, src string, dst string")
+    assert [(r.repo_id, r.path) for r in graph.cycles(e).collect()] == [("r3", ["a", "b", "a"])]
+    assert {tuple(r) for r in graph.on_cycles(e).collect()} == {("r3", "a", "a"), ("r3", "b", "a")}
+    got = graph.neighbourhood(e, spark.createDataFrame([("r1", "a")], "repo_id string, node string")).collect()
+    assert {tuple(r) for r in got} == {("r1", "a", "a"), ("r1", "a", "b")}
+    known = spark.createDataFrame([(r, m) for r in ("r1", "r2", "r3") for m in "abc"], "repo_id string, module string")
+    top = graph.top(graph.degrees(known, e.selectExpr("*", "true AS internal")), "imports", 1).collect()
+    assert [(r.repo_id, r.module, r.imports) for r in top] == [("r1", "a", 1), ("r2", "a", 1), ("r3", "a", 1)]
+
+
+def test_a_root_package_has_no_name(files):
+    assert links(files({"__init__.py": "", "a.py": "from . import b\n", "b.py": ""})) == {("a", "b")}
 
 
 def test_module_names(spark, files):
@@ -57,7 +73,7 @@ def test_relative_levels(files):
 
 def test_neighbourhood_and_filters(spark):
     e = edges(spark, [("a", "b"), ("c", "b"), ("c", "d"), ("d", "e")])
-    got = {r.node for r in graph.neighbourhood(e, spark.createDataFrame([("a",)], "node string")).collect()}
+    got = {r.node for r in graph.neighbourhood(e, spark.createDataFrame([("r", "a")], "repo_id string, node string")).collect()}
     assert got == {"a", "b", "c"}
-    kept = graph.filter_edges(e, spark.createDataFrame([("c",), ("d",)], "node string")).collect()
+    kept = graph.filter_edges(e, spark.createDataFrame([("r", "c"), ("r", "d")], "repo_id string, node string")).collect()
     assert [(r.src, r.dst) for r in kept] == [("c", "d")]

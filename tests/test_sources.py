@@ -9,17 +9,35 @@ from quernel.streaming import live
 
 def test_folder_and_policies(spark, tmp_path):
     root = tmp_path / "r (1)"
-    for p, b in {"a.py": b"x\r\ny\rz", "B.PY": b"x", "bad.py": b"\xff\xfe", "c.ts": b"1", "node_modules/d.js": b"1", "sub/venv/e.py": b"1", "empty.js": b"", "n.txt": b"1"}.items():
+    for p, b in {"a.py": b"x\r\ny\rz", "B.PY": b"x", "bad.py": b"\xff\xfe", "c.ts": b"1", "node_modules/d.js": b"1", "sub/venv/e.py": b"1", "empty.js": b"", "n.txt": b"1", "pkg/__init__.py": b"1", "_own/.f.py": b"", ".hidden/g.py": b"1"}.items():
         (root / p).parent.mkdir(parents=True, exist_ok=True)
         (root / p).write_bytes(b)
     df = sources.read_folder(spark, str(root)).cache()
     assert df.where("path = 'a.py'").first().text == "x\ny\nz"
     of = lambda policy: {r.path for r in df.where(sources.belongs(F.col("path"), policy)).collect()}
-    assert of("metrics") == {"a.py", "node_modules/d.js", "sub/venv/e.py", "empty.js"}
+    names = {"pkg/__init__.py", "_own/.f.py", ".hidden/g.py"}
+    assert of("metrics") == {"a.py", "node_modules/d.js", "sub/venv/e.py", "empty.js"} | names
     assert of("wide") == of("metrics") | {"c.ts"}
-    assert of("explorer") == {"a.py", "B.PY", "c.ts", "empty.js"}
-    assert of("python") == {"a.py", "sub/venv/e.py"}
-    assert sources.concatenated(df).first().n_files == 4
+    assert of("explorer") == {"a.py", "B.PY", "c.ts", "empty.js"} | names
+    assert of("python") == {"a.py", "sub/venv/e.py"} | names
+    assert sources.concatenated(df).first().n_files == 7
+    # Files that can't be read count where they are kept.
+    assert sources.concatenated(sources.read_folder(spark, str(root), unreadable=True)).first().n_files == 8
+    assert sources.read_folder(spark, str(root), endings=None).where("path = 'n.txt'").count() == 1
+    assert sources.read_folder(spark, str(root / "a.py")).count() == 0
+    (tmp_path / "none").mkdir()
+    assert sources.read_folder(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_written_files_come_back(spark, tmp_path):
+    rows = [("r", "a/_b.py", b"1\r\n"), ("r", "c.py", None), ("s", "d e/f+%20.py", b"x")]
+    df = spark.createDataFrame(rows, "repo_id string, path string, content binary")
+    root = f"file://{tmp_path / 'out 1'}"
+    assert sources.write_folder(df, root).where("n_bytes > 0").count() == 2
+    want = [("r", "a/_b.py", "1\n"), ("r", "c.py", ""), ("s", "d e/f+%20.py", "x")]
+    assert sorted((r.repo_id, r.path, r.text) for r in sources.read_folder(spark, root, repo_id=None).collect()) == want
+    assert sources.write_zips(df, root + "/zips").count() == 2
+    assert sorted((r.repo_id[:-4], r.path, r.text) for r in sources.read_zips(spark, root + "/zips").collect()) == want
 
 
 def test_zips(spark, tmp_path):
