@@ -66,7 +66,8 @@ def _rows(raw: DataFrame, unreadable: bool = False) -> DataFrame:
     return rows if unreadable else rows.where(F.col("text").isNotNull())
 
 
-def _open(root: str) -> tuple[pafs.FileSystem, str]:
+def open_root(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
     if root.startswith("file:"):
         return pafs.LocalFileSystem(), re.sub("^file:/*", "/", root).rstrip("/")
     fs, base = pafs.FileSystem.from_uri(root)
@@ -83,14 +84,15 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     names = ["path", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(root)
+        fs, base = open_root(root)
         for batch in batches:
             for folder in batch.column(0).to_pylist():
                 top = f"{base}/{folder}" if folder else base
                 if not folder and fs.get_file_info(base).type == pafs.FileType.File:
                     found = [fs.get_file_info(base)]
                 else:
-                    found = fs.get_file_info(pafs.FileSelector(top))
+                    # A root that isn't there is an error; a folder that went meanwhile is empty.
+                    found = fs.get_file_info(pafs.FileSelector(top, allow_not_found=bool(folder)))
                 paths = [x.path[len(base) + 1 :] for x in found]
                 sizes = [x.size if x.type == pafs.FileType.File else -1 for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names)
@@ -109,7 +111,7 @@ def _contents(files: DataFrame, root: str) -> DataFrame:
     """(path, content) of files (path), opened where they are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(root)
+        fs, base = open_root(root)
         for batch in batches:
             paths, contents, held = [], [], 0
             for path in batch.column(0).to_pylist():
@@ -144,7 +146,7 @@ def read_zips(spark: SparkSession, root: str) -> DataFrame:
     archives = walk(spark, root).where(F.lower("path").endswith(".zip") | (F.col("path") == "")).select("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(root)
+        fs, base = open_root(root)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with fs.open_input_file(f"{base}/{name}" if name else base) as f, zipfile.ZipFile(f) as z:
@@ -162,7 +164,7 @@ def write_folder(files: DataFrame, root: str) -> DataFrame:
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(root)
+        fs, base = open_root(root)
         made: set[str] = set()
         for batch in batches:
             sizes = []
@@ -186,7 +188,7 @@ def write_zips(files: DataFrame, root: str) -> DataFrame:
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(root)
+        fs, base = open_root(root)
         fs.create_dir(base, recursive=True)
         rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3))))
         for repo, group in itertools.groupby(rows, key=lambda r: r[0]):
