@@ -6,7 +6,8 @@ neighbours would have merged across their border; that test runs for all distinc
 batch at once, over arrays. Only pretokens that fail it are merged step by step.
 
 Null and empty texts have no tokens. Strings of added tokens in a text become those tokens, as the
-tokenizers library does by default. Repeated rows give repeated results. A very long text is one
+tokenizers library does by default. Rows are taken one by one: repeated rows, ties and null ids give
+results as they come, and an empty table none. Extra columns are not read. A very long text is one
 row; its memory is a small multiple of its length.
 """
 
@@ -301,8 +302,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         bpe = load(path)
         for batch in batches:
             n, a, b = [], [], []
-            for k in range(0, batch.num_rows, 500):
-                for ids in bpe.encode_many(batch.column(1).slice(k, 500)):
+            for part in slices(batch):
+                for ids in bpe.encode_many(part.column(1)):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

@@ -3,12 +3,16 @@
 Two zstandard dictionaries are trained, one on texts labelled good, one on texts labelled bad. A
 text is compressed with each, in pieces so that it cannot serve as its own dictionary; the
 difference of the sizes by its length goes through a logistic curve fitted on other labelled texts,
-weighted to the labels' shares. The fit uses at most SAMPLE texts of each label and SAMPLE_BYTES of
-each; all texts are scored whole.
+weighted to the labels' shares. The fit uses at most SAMPLE texts of each label, and of each the whole
+or SAMPLE_PIECES pieces in equal steps from its beginning to its end; all texts are scored whole. A
+dictionary is half as long as its sample, at most DICTIONARY_BYTES. Samples that zstandard refuses to
+train on, as those of a handful of texts, are the dictionary themselves, as far as they fit in.
 
 Null and empty texts have a difference of 0 and get the curve's value there. Without texts of both
 labels the score is the share of good labels, or 0.5 without any. Rows are scored one by one, so
-ties, repeated rows and empty tables need no care; only the id and the text are read.
+ties, repeated rows and empty tables need no care; only the id and the text are read. Labels count by
+row; texts whose id the documents repeat are one sample. Labels without an id are not used. Documents
+without an id are scored. A very long text is scored piece by piece.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 
 from quernel.llm.common import id_text, raw, ship, tidy
 
-#: Bounds of the fit: texts of each label, and bytes of each.
-SAMPLE, SAMPLE_BYTES = 2000, 4096
+#: Bounds of the fit: texts of each label, and pieces of each.
+SAMPLE, SAMPLE_PIECES = 2000, 4
 DICTIONARY_BYTES, PIECE, LEVEL = 65_536, 1024, 3
 
 
@@ -83,9 +87,13 @@ def _logit(p: float) -> float:
 
 def _train(texts: list[bytes]) -> bytes:
     pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
-    if len(pieces) < 16 or sum(map(len, pieces)) < 4 * DICTIONARY_BYTES:  # too little for training
-        return b"".join(pieces)[:DICTIONARY_BYTES]
-    return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=64, d=8).as_bytes()
+    size = min(DICTIONARY_BYTES, sum(map(len, pieces)) // 2)
+    try:
+        return zstandard.train_dictionary(size, pieces, k=64, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        # What fits in of each piece, so that none is left out.
+        part = DICTIONARY_BYTES // len(pieces) if pieces else 0
+        return b"".join(x[:part] for x in pieces)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -103,6 +111,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(t[0] / scale), float(t[1])
 
 
+def sample(text: Column) -> Column:
+    """A text's bytes, or SAMPLE_PIECES pieces of them in equal steps from the first to the last."""
+    data, n = text.cast("binary"), F.octet_length(text)
+    steps = [F.floor((n - PIECE) * k / (SAMPLE_PIECES - 1)).cast("int") for k in range(SAMPLE_PIECES)]
+    return F.when(n <= SAMPLE_PIECES * PIECE, data).otherwise(F.concat(*(F.substring(data, at + 1, PIECE) for at in steps)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """The model from the labelled rows that aren't held out."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -111,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     for y in (1, 0):
         # At most SAMPLE ids: small enough to broadcast whatever the tables' sizes.
         chosen = rows.where(F.col("y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        found = id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("text"))
+        found = id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", sample(F.col("text")).alias("text"))
         found = found.groupBy("doc_id").agg(F.min("text").alias("text"))
         texts[y] = [bytes(r.text) for r in sorted(found.collect(), key=lambda r: r.doc_id)]
     total = sum(counts.values())

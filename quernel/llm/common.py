@@ -100,8 +100,8 @@ def runs(size: list[int], rows: int, most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(size)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """batch in runs of rows whose texts, in its second column, are `most` bytes at most together."""
-    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).tolist()
+def slices(batch: pa.RecordBatch, rows: int = 500, most: int = 1 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows whose texts, in the column, are `most` bytes at most together."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).tolist()
     for i, j in runs(size, rows, most):
         yield batch.slice(i, j - i)

@@ -1,18 +1,22 @@
 """Token counts from flat token files without an index, by their end-of-document ids.
 
 A flat file is a run of fixed-width little-endian ids; each document ends with the end id. Files
-are read in blocks that end anywhere. Each block is searched at once over an array, and gives one
-row: its separators and its size. A prefix scan over a file's blocks, running sums and the running
-last separator, tells each block how many documents ended before it and where the document at its
-head began, so documents across any number of blocks are stitched without reading a block again.
+are read in byte ranges that end anywhere, also within an id: a range has the ids that begin in it.
+Each range is searched at once over an array, and gives one row: its separators and its size. A
+prefix scan over a file's ranges, running sums and the running last separator, tells each range how
+many documents ended before it and where the document at its head began, so documents across any
+number of ranges are stitched without reading a range again.
 
 A file without a last separator ends with an unterminated document, if any ids are left; two
-separators in a row hold an empty document. Null and empty texts are empty documents. An empty table
-has no documents. Rows that repeat an id stay apart.
+separators in a row hold an empty document; bytes at a file's end that are no whole id are left out.
+Null and empty texts are empty documents. An empty table has no documents. Rows that repeat an id, or
+have none, stay apart. Ties need no care, extra columns are not read. A very long text is encoded at
+once, in a few times its size, and its file is read in ranges like any other.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,72 +25,70 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import Encoder, id_text, ship, stored, tidy
+from quernel.llm.common import Encoder, id_text, parts, ship, slices, stored, tidy
+from quernel.sources.files import open_root, walk
 
 BLOCK_BYTES = 1 << 20
 
 
-def write_flat(docs: DataFrame, encode: Encoder, end_id: int, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Each input partition as one flat file, stored as rows (file_id, block, data); beside it the
-    document ids in the files' order (file_id, ordinal, doc_id), which the scan doesn't use."""
+def write_flat(docs: DataFrame, encode: Encoder, end_id: int, root: str, dtype: str = "<u2") -> DataFrame:
+    """Each input partition as one flat file below root, which all executors reach; returns the document
+    ids in the files' order (file_id, ordinal, doc_id), which the scan doesn't use.
+
+    A file has its name only when it is whole, so tasks that fail or run twice do no harm.
+    """
     ship(docs.sparkSession)
     end = np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file_id, block, ordinal, rest = TaskContext.get().partitionId(), 0, 0, b""
-
-        def rows(blocks: list[bytes], first: int, ids: np.ndarray | None) -> pa.RecordBatch:
-            k = len(blocks) + (ids is not None)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([file_id] * k, pa.int32()), pa.array([*range(block, block + len(blocks)), *[-1] * (ids is not None)], pa.int64()), pa.array([*blocks, *[None] * (ids is not None)], pa.binary()), pa.array([None] * len(blocks) + [first] * (ids is not None), pa.int64()), pa.array([*[None] * len(blocks), *([ids.tolist()] if ids is not None else [])], pa.list_(pa.int64()))],
-                ["file_id", "block", "data", "first", "doc_ids"],
-            )
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                data = rest + b"".join(np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in encode(part.column(1)))
-                whole = len(data) // block_bytes
-                yield rows([data[i * block_bytes : (i + 1) * block_bytes] for i in range(whole)], ordinal, part.column(0).to_numpy(zero_copy_only=False))
-                block, ordinal, rest = block + whole, ordinal + part.num_rows, data[whole * block_bytes :]
-        if rest:
-            yield rows([rest], 0, None)
-
-    table = stored(id_text(docs.where(F.col("doc_id").isNotNull())).mapInArrow(tidy(run), "file_id int, block long, data binary, first long, doc_ids array<long>"))
-    blocks = table.where("block >= 0").select("file_id", "block", "data")
-    ids = table.where("block < 0").select("file_id", "first", F.posexplode("doc_ids").alias("k", "doc_id"))
-    return blocks, ids.select("file_id", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
-
-
-def read_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file_id, block, data) of flat files under a path."""
-    ship(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_root(root)
+        name, ordinal, out = f"part-{TaskContext.get().partitionId():06d}.bin", 0, None
+        unfinished = f"{base}/{name}.{uuid.uuid4().hex}"
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k in range(0, len(data), block_bytes):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // block_bytes], pa.int64()), pa.array([data[k : k + block_bytes]], pa.binary())], ["file_id", "block", "data"])
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(tidy(run), "file_id string, block long, data binary")
-
-
-def scan(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFrame:
-    """(file_id, ordinal, n_tokens, begin, terminated): each document's place in its file and its
-    tokens without the end id."""
-    spark = blocks.sparkSession
+            for part in slices(batch):
+                if out is None:
+                    fs.create_dir(base, recursive=True)
+                    out = fs.open_output_stream(unfinished)
+                out.write(b"".join(np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in encode(part.column(1))))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ordinal], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64()))], ["file_id", "first", "doc_ids"])
+                ordinal += part.num_rows
+        if out is not None:
+            out.close()
+            fs.move(unfinished, f"{base}/{name}")
+
+    table = stored(id_text(docs).mapInArrow(tidy(run), "file_id string, first long, doc_ids array<long>"))
+    ids = table.select("file_id", "first", F.posexplode("doc_ids").alias("k", "doc_id"))
+    return ids.select("file_id", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
+
+
+def ranges(spark: SparkSession, root: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(file_id, block, begin, end, length): the byte ranges of the flat files below root."""
+    files = walk(spark, root).where(F.col("path").endswith(".bin") & (F.col("length") > 0))
+    blocks = files.select(F.col("path").alias("file_id"), "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes))).alias("block"))
+    begin = F.col("block") * block_bytes
+    return blocks.select("file_id", "block", begin.alias("begin"), F.least(begin + block_bytes, "length").alias("end"), "length")
+
+
+def scan(spark: SparkSession, root: str, end_id: int, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(file_id, ordinal, n_tokens, begin, terminated): each document's place in its file below root and
+    its tokens without the end id."""
     ship(spark)
-    kind = blocks.schema["file_id"].dataType.simpleString()
+    width = np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_root(root)
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(2)[k].as_buffer(), dtype)
+            for name, block, begin, end, length in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                # The ids that begin in the range, to the last one's end.
+                lo, hi = (min(-(-x // width) * width, length // width * width) for x in (begin, end))
+                with fs.open_input_file(f"{base}/{name}") as f:
+                    ids = np.frombuffer(f.read_at(hi - lo, lo), dtype)
                 at = np.flatnonzero(ids == end_id)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([len(ids)], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int32()))], ["file_id", "block", "n", "seps"])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int32()))], ["file_id", "block", "n", "seps"])
 
     # Only the separators' places are kept, some bytes for each document.
-    found = stored(blocks.select("file_id", "block", "data").mapInArrow(tidy(run), f"file_id {kind}, block long, n long, seps array<int>"))
+    dealt = ranges(spark, root, block_bytes).repartition(parts(spark), "file_id", "block")
+    found = stored(dealt.mapInArrow(tidy(run), "file_id string, block long, n long, seps array<int>"))
     w = Window.partitionBy("file_id").orderBy("block")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     last = F.when(F.size("seps") > 0, F.col("base") + F.element_at("seps", -1))

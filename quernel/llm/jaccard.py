@@ -332,8 +332,9 @@ def _outsiders(rows: DataFrame) -> DataFrame:
     return inner.select(*cols).union(across.select(*cols)).union(among.select(*cols))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each document."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark: a hash of its text, n, component: its least id, group: its component's own mark, null
+    for an empty set) for each document."""
     both = signatures(docs)
     sig = both.where("shared IS NULL").select("doc_id", "mark", "n", "key")
     shared = both.where("shared IS NOT NULL").groupBy("key").agg(F.sum("shared").alias("shared")).withColumnRenamed("key", "_k")
@@ -358,12 +359,38 @@ def join(docs: DataFrame) -> DataFrame:
         if not rest.isEmpty():
             edges = stored(_met(_outsiders(rest), sets).union(edges))
             known = components(edges)
+    # A component's mark is the number of its least set; a set that links with no other has its fingerprint.
     comps = chosen.join(known, "id", "left").select("key", "rep", F.coalesce("component", "id").alias("root"))
-    names = comps.groupBy("root").agg(F.min("rep").alias("component_id"))
-    comps = comps.join(names, "root").select(F.col("key").alias("_k"), "component_id")
-    # Sets that link with no other are named by their own least id.
-    comps = reps.join(comps, F.col("key") == F.col("_k"), "left").select(F.col("key").alias("_k"), F.when(F.col("_k").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component"))
-    return sig.join(comps, F.col("key") == F.col("_k"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    names = comps.groupBy("root").agg(F.min("rep").alias("component"))
+    comps = comps.join(names, "root").select(F.col("key").alias("_k"), "component", F.concat(F.lit(b"set "), F.col("root").cast("string").cast("binary")).alias("group"))
+    comps = reps.join(comps, F.col("key") == F.col("_k"), "left")
+    own = [F.when(F.col("_k").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"), F.coalesce("group", "key").alias("group")]
+    comps = comps.select(F.col("key").alias("_key"), *own)
+    rows = sig.join(comps, F.col("key") == F.col("_key"), "left")
+    return rows.select("doc_id", "mark", "n", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component"), "group")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each document."""
+    return labelled(docs).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one document of each group: the one with the least id, of those the one
+    whose text has the least hash. An id comes before none. Documents with empty sets stay."""
+    rows = stored(labelled(docs))
+    of = rows.where("group IS NOT NULL")
+    first = of.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("s")).select("s.doc_id", "s.mark")
+    kept = first.unionByName(rows.where("group IS NULL").select("doc_id", "mark")).distinct().toDF("_kept_id", "_kept_mark")
+    marked = docs.withColumn("_own_mark", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    same = lambda x: F.col("doc_id").cast("long").eqNullSafe(x["_kept_id"]) & (F.col("_own_mark") == x["_kept_mark"])
+    marked = marked.join(kept, same(kept), "left_semi")
+    # Rows repeated as they are, which seldom are, leave one.
+    again = stored(of.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id", "mark").toDF("_kept_id", "_kept_mark"))
+    if not again.isEmpty():
+        once = marked.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "_own_mark"])
+        marked = marked.join(again, same(again), "left_anti").unionByName(once)
+    return marked.drop("_own_mark")
 
 
 def sql() -> str:

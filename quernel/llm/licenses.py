@@ -8,8 +8,10 @@ with a probability below 1e-7. A window that meets a template in any band is ver
 containment of the template's shingles in it must be 0.75 or more. A template of fewer than five
 words is sought as a whole, in windows of its own length, and must stand there word for word.
 
-One row for each document, in any order; null and empty texts match nothing, and those of fewer than
-five words only templates that are as short. Of several windows the fullest, then the first, stands for a template; of several
+One row for each document, in any order: rows that repeat an id, or have none, are taken one by one,
+and an empty table gives no rows. Null and empty texts match nothing, and those of fewer than five
+words only templates that are as short. Very long texts go through in segments that overlap by twice
+the longest template; extra columns are not read. Of several windows the fullest, then the first, stands for a template; of several
 templates the fullest, then the longest, then the first by name, is the best. Templates are
 broadcast with the code: their number is bounded by MOST_TEMPLATES, and more are refused.
 """
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quernel.llm.common import id_text, raw, ship, tidy
 from quernel.llm.textkernel import _mark, shingles, word_hashes
@@ -157,6 +160,18 @@ class Scanner:
         return [(j, -k[0], k[1], k[2]) for j, k in sorted(best.items())]
 
 
+def templates(table: DataFrame, name: str = "name", text: str = "text") -> dict[str, str]:
+    """A table's templates, as scan takes them, of full license texts for instance. At most
+    MOST_TEMPLATES: they are held by each worker; more are refused, and may be scanned in several runs."""
+    rows = table.select(F.col(name).alias("name"), F.col(text).alias("text")).limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"at most {MOST_TEMPLATES} templates")
+    out = {r["name"]: r["text"] for r in rows}
+    if len(out) < len(rows):
+        raise ValueError("a name has two texts")
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, n_matches, best_template, best_containment, matches) for each document."""
     ship(docs.sparkSession)

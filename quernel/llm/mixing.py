@@ -10,9 +10,10 @@ small: its blocks are a FEWth of its own size, it takes as many of them as its t
 the others share what is left.
 
 Sizes, hashes and quotas are functions of the rows, so reruns agree. Null and empty texts have size
-0 and are taken 0 times. Null is a source of its own, the last. Rows that repeat a document id are
-taken as they come: ties in the seeded order stand by size. An empty table gives an empty mix. Of
-extra columns none is read.
+0 and are taken 0 times. Null is a source of its own, the last. Rows that repeat a document id, or have
+none, are taken as they come: ties in the seeded order stand by size, then by a hash of the text. An
+empty table gives an empty mix. Of extra columns none is read. Of a very long text only the size
+counts: a text longer than a block, or a shard, takes up several blocks, or all of a shard.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from quernel.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-#: Words in a shard of a source, about.
-SHARD_WORDS = 200_000
+#: Words in a shard of a source, about, and shards of all sources: so as many rows are ranked at once.
+SHARD_WORDS, SHARDS = 200_000, 100_000
 #: Blocks are total / BLOCKS words long, within LEAST and MOST.
 BLOCKS, LEAST, MOST = 200_000, 64, 4096
 #: Sources of less than so many blocks have blocks of their own length.
@@ -34,8 +35,8 @@ SEED = 17
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each text."""
-    return docs.select(F.col("doc_id"), F.col("source"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    """(doc_id, source, text_mark, size): words of each text."""
+    return docs.select(F.col("doc_id"), F.col("source"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_mark"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -84,18 +85,19 @@ def _number(text: Column, n: int = 8) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, n), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, weight, block) for each document."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = SEED, with_mark: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, weight, block) for each document; with_mark adds a hash of
+    its text as text_mark, so that rows can be told apart."""
     sized = stored(sizes(docs))
     src = stored(targets(sized, weights, share, most))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long")
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(SHARD_WORDS), F.floor(F.col("total") / SHARDS)))).cast("long")
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    placed = sized.join(src.select(F.col("source").alias("_s"), "k", "source_size", "weight", "target", "block"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    placed = sized.join(src.select(F.col("source").alias("_s"), "k", "source_size", "weight", "target", "total", "block"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = placed.withColumn("mark", mark).withColumn("shard", F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") % shards)
-    stream = Window.partitionBy("k", "shard").orderBy("mark", "size")
+    stream = Window.partitionBy("k", "shard").orderBy("mark", "size", "text_mark")
     placed = placed.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
     # Blocks of each source, then of each of its shards, a few rows for each.
-    lengths = sized.join(src.select(F.col("source").alias("_s"), "k", "source_size", "block"), F.col("source").eqNullSafe(F.col("_s")))
+    lengths = sized.join(src.select(F.col("source").alias("_s"), "k", "source_size", "total", "block"), F.col("source").eqNullSafe(F.col("_s")))
     lengths = lengths.withColumn("shard", F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % shards)
     lengths = lengths.groupBy("k", "shard", "block").agg(F.sum("size").alias("length")).where("length > 0")
     apart = F.coalesce(F.sum(F.when(F.col("small"), F.col("target"))).over(Window.partitionBy()), F.lit(0.0))
@@ -121,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     seen = seen.withColumn("upto", F.when(F.col("end") > 0, F.coalesce(upto, F.lit(0))).otherwise(0))
     extra = F.col("upto") - F.lag("upto", 1, 0).over(stream)
     taken = F.coalesce(F.col("base"), F.lit(0)) * F.col("size") + F.when(F.col("size") > 0, extra).otherwise(0)
-    return seen.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("weight").cast("long").alias("weight"), "block")
+    return seen.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("weight").cast("long").alias("weight"), "block", *(["text_mark"] if with_mark else []))
 
 
 def _apportioned(name: str, rows: str, group: str, key: str, weight: str) -> str:
@@ -151,14 +153,18 @@ d AS (SELECT *, row_number() OVER (ORDER BY cap / weight, k) AS pos FROM c),
 e AS (SELECT *, (total * {share}::DOUBLE - coalesce(sum(cap) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / (sum(weight) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS rate FROM d),
 f AS (SELECT *, cap <= rate * weight AS "full" FROM e),
-src AS (SELECT source, k, source_size, weight, total, CASE WHEN "full" THEN cap ELSE weight * (min_by(rate, pos) FILTER (WHERE NOT "full") OVER ()) END AS target,
-  least({MOST}, greatest({LEAST}, floor(total / {BLOCKS})))::BIGINT AS block FROM f),
+src0 AS (SELECT source, k, source_size, weight, total, CASE WHEN "full" THEN cap ELSE weight * (min_by(rate, pos) FILTER (WHERE NOT "full") OVER ()) END AS target,
+  least({MOST}, greatest({LEAST}, floor(total / {BLOCKS})))::BIGINT AS common FROM f),
+src AS (SELECT *, source_size > 0 AND source_size < {FEW} * common AS small,
+  CASE WHEN source_size > 0 AND source_size < {FEW} * common THEN greatest(1, floor(source_size / {FEW})) ELSE common END::BIGINT AS block FROM src0),
 p AS (SELECT s.doc_id, s.size, src.*, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS mark FROM sized s JOIN src ON s.source IS NOT DISTINCT FROM src.source),
-placed0 AS (SELECT *, {number} % greatest(1, ceil(source_size / {SHARD_WORDS}))::BIGINT AS shard FROM p),
+placed0 AS (SELECT *, {number} % greatest(1, ceil(source_size / greatest({SHARD_WORDS}, floor(total / {SHARDS}))))::BIGINT AS shard FROM p),
 placed AS (SELECT *, (sum(size) OVER (PARTITION BY k, shard ORDER BY mark, size ROWS UNBOUNDED PRECEDING))::BIGINT AS "end" FROM placed0),
 lengths AS (SELECT k, shard, block, sum(size)::BIGINT AS length FROM placed GROUP BY ALL HAVING sum(size) > 0),
-seated AS (SELECT *, round(total * {share}::DOUBLE / block)::BIGINT AS seats FROM src),{_apportioned("won1", "seated", "", "k", "target")},
-won AS (SELECT k, least(won, floor(source_size * {most}::DOUBLE / block))::BIGINT AS seats FROM won1),
+apart AS (SELECT coalesce(sum(target) FILTER (WHERE small), 0) AS words FROM src),
+seated AS (SELECT src.*, round((total * {share}::DOUBLE - words) / block)::BIGINT AS seats FROM src, apart WHERE NOT small),{_apportioned("won1", "seated", "", "k", "target")},
+won AS (SELECT k, least(won, floor(source_size * {most}::DOUBLE / block))::BIGINT AS seats FROM won1
+  UNION ALL SELECT k, round(target * ceil(source_size / block) / source_size)::BIGINT FROM src WHERE small),
 ls AS (SELECT lengths.*, seats FROM lengths JOIN won USING (k)),{_apportioned("won2", "ls", "k", "shard", "length")},
 q AS (SELECT k, shard, block, ceil(length / block)::BIGINT AS n, least(won, (ceil(length / block) * {most}::DOUBLE)::BIGINT) AS q FROM won2),
 bl AS (SELECT k, shard, block, q // n AS base, q % n AS more, unnest(range(0, n)) AS b FROM q),

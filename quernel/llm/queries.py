@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import bpe, classify, flatscan, jaccard, licenses, media, mixing, quality, substrings, tokenfile
-from quernel.llm.common import documents
+from quernel.llm.common import documents, shared_dir
 
 
 def _vocabulary(name: str) -> str:
@@ -41,7 +41,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.write(documents(spark, sf_dir)))
+    """The contract's digests, and from the units read back how many there are, how many are
+    random-access points, and the last one's time."""
+    rows = media.read(media.write(documents(spark, sf_dir)), payload=False)
+    entries = F.filter("units", lambda u: u["random_access"])
+    facts = [F.size("units").alias("n_units"), F.size(entries).alias("n_random_access"), F.element_at("units", -1)["pts"].alias("last_pts")]
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *facts)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +55,9 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, counted in flat files of all documents' byte-level BPE ids."""
-    end = 50256
-    blocks, ids = flatscan.write_flat(documents(spark, sf_dir), bpe.plain_encoder(_vocabulary("byte_bpe_50k.json")), end)
-    return flatscan.scan(blocks, end).join(ids, ["file_id", "ordinal"]).select("doc_id", "n_tokens", "file_id", "ordinal", "begin", "terminated")
+    end, root = 50256, shared_dir(spark)
+    ids = flatscan.write_flat(documents(spark, sf_dir), bpe.plain_encoder(_vocabulary("byte_bpe_50k.json")), end, root)
+    return flatscan.scan(spark, root, end).join(ids, ["file_id", "ordinal"]).select("doc_id", "n_tokens", "file_id", "ordinal", "begin", "terminated")
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,3 +148,34 @@ def test_against_sql(spark):
         assert cols == sorted(a.columns)
         a, b = (x[cols].astype(str).sort_values(cols).reset_index(drop=True) for x in (a, b))
         assert a.equals(b)
+
+
+def test_mix_against_sql(spark, tmp_path):
+    """Large and small sources together, null ones and texts without words."""
+    rng = random.Random(15)
+    rows, i = [], 0
+    for source, words in (("big", 40_000), ("mid", 9000), ("tiny", 10), ("tiny2", 25), ("tiny3", 40), (None, 700), ("one", 1), ("zero", 0)):
+        left = words
+        while left >= 0:
+            n = min(left, rng.randint(1, 300))
+            rows.append((i, "w " * n if n else rng.choice([None, "", " \n"]), "en", source, 0))
+            i, left = i + 1, left - n if n else -1
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in db.execute(f"SELECT doc_id, size, source_size, target, taken, weight, block FROM ({mixing.sql()})").fetchall()}
+    got = {r.doc_id: (r["size"], r.source_size, r.target, r.taken, r.weight, r.block) for r in mixing.mix(df).collect()}
+    assert got.keys() == want.keys() and all(got[k][:2] + got[k][3:] == want[k][:2] + want[k][3:] and got[k][2] == pytest.approx(want[k][2]) for k in got)
+    taken, target = {}, {}
+    for k, _, _, source, _ in rows:
+        taken[source] = taken.get(source, 0) + got[k][3]
+        target[source] = got[k][2]
+    assert all(abs(taken[s] - target[s]) <= max(2, 0.02 * target[s]) for s in taken)
+
+
+def test_a_heading_that_comes_back_rejects_no_text(spark):
+    prose = " ".join(f"the word{k} of" for k in range(40))
+    rows = [(1, f"Heading\n{prose}\nHeading"), (2, "\n".join([" ".join(f"the {w}{k}" for k in range(7)) for w in "ab"] * 3 + [prose[:40]]))]
+    got = {r.doc_id: r.failed_rules for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "" and "repeated_lines" in got[2]

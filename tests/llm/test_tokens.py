@@ -142,15 +142,15 @@ def test_dictionary_is_trained_and_used(spark):
     assert box.ids(3) == encode(pa.array([df.where("doc_id = 3").first().text]))[0]
 
 
-@pytest.mark.parametrize("block", [2, 6, 64, 1 << 20])
-def test_flat_scan(spark, edge, edge_rows, block):
-    """Blocks may end anywhere: a block of one id holds no whole document."""
-    small = edge.where("length(coalesce(text, '')) < 3000")
-    encode = bpe.plain_encoder(BYTE)
-    blocks, ids = flatscan.write_flat(small, encode, 50256, block_bytes=block)
-    got = flatscan.scan(blocks, 50256).join(ids, ["file_id", "ordinal"]).collect()
+@pytest.mark.parametrize("block", [2, 3, 7, 64, 1 << 20])
+def test_flat_scan(spark, edge, edge_rows, tmp_path, block):
+    """Ranges may end anywhere, also within an id: one of two bytes holds no whole document."""
+    small = edge.where("length(coalesce(text, '')) < 700")
+    root = f"file://{tmp_path}/flat"
+    ids = flatscan.write_flat(small, bpe.plain_encoder(BYTE), 50256, root)
+    got = flatscan.scan(spark, root, 50256, block_bytes=block).join(ids, ["file_id", "ordinal"]).collect()
     own = bpe.load(BYTE)
-    want = {i: len(own.encode_many(pa.array([x or ""]), special=False)[0]) // 4 for i, x, *_ in edge_rows if len(x or "") < 3000}
+    want = {i: len(own.encode_many(pa.array([x or ""]), special=False)[0]) // 4 for i, x, *_ in edge_rows if len(x or "") < 700}
     assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(want)
 
 
@@ -158,12 +158,30 @@ def test_flat_files_without_an_end(spark, tmp_path):
     np.array([7, 7, 0, 0, 5], "<u2").tofile(tmp_path / "a.bin")
     np.array([0], "<u2").tofile(tmp_path / "b.bin")
     np.array([1, 2, 3], "<u2").tofile(tmp_path / "c.bin")
-    for size in (2, 4, 100):
-        rows = flatscan.scan(flatscan.read_files(spark, str(tmp_path), size), 0).collect()
+    with open(tmp_path / "c.bin", "ab") as f:
+        f.write(b"x")  # half an id
+    (tmp_path / "d.bin").write_bytes(b"")
+    (tmp_path / "part-1.bin.unfinished").write_bytes(b"1234")
+    for size in (2, 3, 4, 100):
+        rows = flatscan.scan(spark, str(tmp_path), 0, block_bytes=size).collect()
         got = sorted((r.file_id[-5], r.ordinal, r.n_tokens, r.begin, r.terminated) for r in rows)
         assert got == [("a", 0, 2, 0, True), ("a", 1, 0, 3, True), ("a", 2, 1, 4, False), ("b", 0, 0, 0, True), ("c", 0, 3, 0, False)]
 
 
-def test_flat_scan_of_nothing(spark, none):
-    blocks, ids = flatscan.write_flat(none, bpe.plain_encoder(BYTE), 50256)
-    assert flatscan.scan(blocks, 50256).count() == 0 and ids.count() == 0
+def test_wide_ids(spark, tmp_path):
+    np.array([70_000, 9, 0, 1, 0], "<u4").tofile(tmp_path / "a.bin")
+    for size in (1, 5, 100):
+        rows = flatscan.scan(spark, str(tmp_path), 0, "<u4", size).collect()
+        assert sorted((r.ordinal, r.n_tokens) for r in rows) == [(0, 2), (1, 1)]
+
+
+def test_flat_scan_of_nothing_and_of_repeated_ids(spark, none, tmp_path):
+    roots = [f"file://{tmp_path}/{k}" for k in range(2)]
+    ids = flatscan.write_flat(none, bpe.plain_encoder(BYTE), 50256, roots[0])
+    assert ids.count() == 0
+    (tmp_path / "0").mkdir(exist_ok=True)
+    assert flatscan.scan(spark, roots[0], 50256).count() == 0
+    rows = spark.createDataFrame([(None, "a b"), (1, "a"), (1, "a"), (None, None), (1, "c d e")], "doc_id long, text string")
+    ids = flatscan.write_flat(rows, bpe.plain_encoder(BYTE), 50256, roots[1])
+    got = flatscan.scan(spark, roots[1], 50256).join(ids, ["file_id", "ordinal"]).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 0), (0, 2), (1, 1), (1, 1), (1, 3)]
