@@ -42,7 +42,7 @@ from quernel.llm.components import components
 from quernel.llm.textkernel import shingle_set
 
 KEYS, ROUNDS = 24, ((0, 2), (2, 8), (8, 24))
-CHUNK = 1 << 17
+CHUNK = 1 << 20
 #: Rows and bytes of text, about, whose shingles are put together before they are dealt.
 SLICE_ROWS, SLICE_BYTES = 10_000, 8 << 20
 LEAF, FAN, WORDS = 16, 8, 16
@@ -54,15 +54,58 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+_SIGNATURES = ["doc_id", "mark", "n", "key", "to", "keys", "shared", "here"]
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray, most: int) -> list[tuple[int, bytes, bytes]]:
+    """(partition, keys, counts): counts of sets, dealt to partitions by their fingerprints."""
+    to = (keys[:, 0] % np.uint64(most)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[order], np.arange(most + 1))
+    rows = [(k, order[cut[k] : cut[k + 1]]) for k in np.flatnonzero(np.diff(cut)).tolist()]
+    return [(k, keys[at].tobytes(), counts[at].astype("<u4").tobytes()) for k, at in rows]
+
+
+def shared_counts(found: DataFrame) -> DataFrame:
+    """(key, shared) of packed counts: what the buckets say, and the least that a batch says.
+
+    A shingle that one batch holds in several sets and another in this one alone stands in a bucket, so
+    any one batch's count covers what no bucket has seen; the sum is no less than the true number.
+    """
+    spark = found.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, here = [], [], []
+        for batch in batches:
+            for k, c, own in zip(*(batch.column(i).to_pylist() for i in range(1, 4))):
+                keys.append(np.frombuffer(k, "<u8").reshape(-1, 2))
+                counts.append(np.frombuffer(c, "<u4").astype(np.int64))
+                here.append(np.full(len(counts[-1]), own))
+        if not keys:
+            return
+        known, index = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
+        index, counts, here = index.reshape(-1), np.concatenate(counts), np.concatenate(here)
+        total = np.bincount(index[~here], weights=counts[~here], minlength=len(known)).astype(np.int64)
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(least, index[here], counts[here])
+        total += np.where(least == np.iinfo(np.int64).max, 0, least)
+        for k in range(0, len(known), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in known[k : k + 100_000]], pa.binary()), pa.array(total[k : k + 100_000])], ["key", "shared"])
+
+    rows = found.select("to", "keys", "shared", "here").repartition(parts(spark), "to")
+    return rows.mapInArrow(tidy(run), "key binary, shared long")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """Rows of two kinds, stored. A document's: (doc_id, mark: a hash of its text, n: its set's size,
-    key: its set's fingerprint, null for an empty set), shared null. And (key, shared), several to a
-    key: how many shingles of a set occur in some other set."""
+    key: its set's fingerprint, null for an empty set), to null. And packed counts (to: a partition,
+    keys, shared, here): how many shingles of sets occur in some other set, found in a bucket, or
+    within a batch (here)."""
     spark = docs.sparkSession
     ship(spark)
-    buckets = 4 * parts(spark)
-    names = ["bucket", "keys", "counts", "hashes", "marks", "doc_id", "mark", "n", "key", "shared"]
-    kinds = (pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+    buckets, most = 4 * parts(spark), parts(spark)
+    names = ["bucket", "owners", "counts", "hashes", "marks", *_SIGNATURES]
+    kinds = (pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
 
     def dealt(sets: dict[bytes, np.ndarray]) -> list[tuple]:
         """Packed shingles of distinct sets, a row for each bucket, and the shared ones counted here."""
@@ -87,8 +130,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             at = alone[cut[b] : cut[b + 1]]
             at = at[np.argsort(doc[at], kind="stable")]
             owners, n = np.unique(doc[at], return_counts=True)
-            rows.append((b, b"".join([keys[i] for i in owners]), n.astype("<u4").tobytes(), low[at].tobytes(), low[mark[cut_marks[b] : cut_marks[b + 1]]].tobytes(), *[None] * 5))
-        return rows + [(int.from_bytes(keys[i][:4]) % buckets, *[None] * 7, keys[i], int(here[i])) for i in np.flatnonzero(here).tolist()]
+            rows.append((b, b"".join([keys[i] for i in owners]), n.astype("<u4").tobytes(), low[at].tobytes(), low[mark[cut_marks[b] : cut_marks[b + 1]]].tobytes(), *[None] * 8))
+        # All of them, as one that has none here must say so.
+        return rows + [(to % buckets, *[None] * 8, to, k, c, True) for to, k, c in _packed(np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2), here, most)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,27 +148,28 @@ def signatures(docs: DataFrame) -> DataFrame:
                         if key is not None:
                             sets[key] = s
                     n, key = seen[text]
-                    rows.append((mark % buckets, *[None] * 4, i, mark, n, key, None))
+                    rows.append((mark % buckets, *[None] * 4, i, mark, n, key, *[None] * 4))
                 if sets:
                     rows += dealt(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
+        found: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> None:
             if not held:
                 return
             keys, *cols = zip(*held)
             keys = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
             counts, h, marks = (np.frombuffer(b"".join(c), "<u4") for c in cols)
+            if not len(h):
+                return
             # Equal sets of different batches are one owner.
             known, index = np.unique(keys, axis=0, return_inverse=True)
             owner = index.reshape(-1)[np.repeat(np.arange(len(keys)), counts)]
             order = np.argsort(h, kind="stable")
             h, owner = h[order], owner[order]
-            if not len(h):
-                return
             first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint32(1)))
             many = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) | np.isin(h[first], marks)
             size = np.diff(first, append=len(h))
@@ -132,26 +177,37 @@ def signatures(docs: DataFrame) -> DataFrame:
             pair = np.unique(np.repeat(np.flatnonzero(many), size[many]) * len(known) + owner[np.repeat(many, size)])
             shared = np.bincount(pair % len(known), minlength=len(known))
             some = np.flatnonzero(shared)
-            if len(some):
-                nothing = pa.nulls(len(some), pa.int64())
-                yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array([known[i].tobytes() for i in some], pa.binary()), pa.array(shared[some], pa.int64())], names[5:])
+            found.append((known[some], shared[some]))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """What the buckets so far give, summed by set."""
+            if sum(len(c) for _, c in found):
+                known, index = np.unique(np.concatenate([k for k, _ in found]), axis=0, return_inverse=True)
+                total = np.bincount(index.reshape(-1), weights=np.concatenate([c for _, c in found])).astype(np.int64)
+                rows = [(*[None] * 4, to, k, c, False) for to, k, c in _packed(known, total, most)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds[5:])], _SIGNATURES)
+            found.clear()
 
         for batch in batches:
             passed = batch.filter(batch.column(1).is_null())
             if passed.num_rows:
-                yield pa.RecordBatch.from_arrays(passed.columns[5:], names[5:])
+                yield pa.RecordBatch.from_arrays(passed.columns[5:], _SIGNATURES)
             own = batch.filter(batch.column(1).is_valid())
             for b, *x in zip(*(own.column(i).to_pylist() for i in range(5))):
                 if b != now:
-                    yield from close()
+                    close()
                     held, now = [], b
+                    if sum(len(c) for _, c in found) > 1 << 20:
+                        yield from flush()
                 held.append(x)
-        yield from close()
+        close()
+        yield from flush()
 
+    schema = "doc_id long, mark long, n long, key binary, `to` int, keys binary, shared binary, here boolean"
     texts = id_text(docs).withColumn("mark", F.xxhash64("text"))
-    rows = texts.mapInArrow(tidy(deal), "bucket int, keys binary, counts binary, hashes binary, marks binary, doc_id long, mark long, n long, key binary, shared long")
+    rows = texts.mapInArrow(tidy(deal), "bucket int, owners binary, counts binary, hashes binary, marks binary, " + schema)
     rows = rows.repartition(parts(spark), "bucket").sortWithinPartitions("bucket")
-    return stored(rows.mapInArrow(tidy(count), "doc_id long, mark long, n long, key binary, shared long"))
+    return stored(rows.mapInArrow(tidy(count), schema))
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -336,8 +392,8 @@ def labelled(docs: DataFrame) -> DataFrame:
     """(doc_id, mark: a hash of its text, n, component: its least id, group: its component's own mark, null
     for an empty set) for each document."""
     both = signatures(docs)
-    sig = both.where("shared IS NULL").select("doc_id", "mark", "n", "key")
-    shared = both.where("shared IS NOT NULL").groupBy("key").agg(F.sum("shared").alias("shared")).withColumnRenamed("key", "_k")
+    sig = both.where("`to` IS NULL").select("doc_id", "mark", "n", "key")
+    shared = shared_counts(both.where("`to` IS NOT NULL")).withColumnRenamed("key", "_k")
     # The least id names a set, and the text of some document with it is read again.
     source = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     reps = stored(sig.where("key IS NOT NULL").groupBy("key").agg(source.alias("s"), F.first("n").alias("n")).select("key", "n", F.col("s.doc_id").alias("rep"), F.col("s.mark").alias("rep_mark")))
