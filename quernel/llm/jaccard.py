@@ -103,7 +103,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     within a batch (here)."""
     spark = docs.sparkSession
     ship(spark)
-    buckets, most = 4 * parts(spark), parts(spark)
+    # As many buckets as tasks: a set goes to each with its fingerprint, whatever few shingles it has there.
+    buckets = most = parts(spark)
     names = ["bucket", "owners", "counts", "hashes", "marks", *_SIGNATURES]
     kinds = (pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
 
@@ -411,8 +412,10 @@ def labelled(docs: DataFrame) -> DataFrame:
         found = _met(_first_chunk(_open(rows, known)), sets)
         edges = stored(found if edges is None else found.union(edges))
         known = components(edges)
-        rest = _open(rows, known).where("chunks > 2")
-        if not rest.isEmpty():
+        # Few keys have groups of more than two chunks; only their rows are looked at again.
+        large = stored(rows.groupBy("key").agg(_chunks(F.sum("n")).alias("c")).where("c > 2").select("key"))
+        if not large.isEmpty():
+            rest = _open(rows.join(large, "key", "left_semi"), known)
             edges = stored(_met(_outsiders(rest), sets).union(edges))
             known = components(edges)
     # A component's mark is the number of its least set; a set that links with no other has its fingerprint.
