@@ -6,9 +6,10 @@ shingle, no words an empty set, which links with nothing. Sets are compared as 6
 1. One pass over the texts cuts them into shingles. Equal sets fall together by their 128-bit
    fingerprint, never by ids; one document stands for each.
 2. A set links with another only if three quarters of its shingles occur in other sets. In the same
-   pass the shingles are dealt out by their hash, as packed arrays: those that one set of a batch
-   holds with that set, those that several hold once, as a mark; the latter are counted at once. Each
-   set gets the number of its shared ones, and those with too few drop out; this loses no link.
+   pass the shingles are dealt out by their hash, as packed arrays: those that one set of a slice of
+   the texts holds with that set's number in the slice, those that several hold once, as a mark; the
+   latter are counted at once. Each set gets a number of shared ones, no less than the true one, and
+   those with too few drop out; this loses no link.
 3. The others meet by MinHash keys: two sets with similarity s share a key with probability s, and
    miss all KEYS with probability (1 - s)^KEYS, below 4e-15. The keys go in rounds; in the later
    ones only groups that still hold different components are looked at.
@@ -54,70 +55,92 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-_SIGNATURES = ["doc_id", "mark", "n", "key", "to", "keys", "shared", "here"]
+#: A row's document, or what is known of a slice's sets; see signatures.
+_SIGNATURES = ["doc_id", "mark", "n", "key", "slice", "owners", "counts", "rows", "keys", "sizes"]
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+_SCHEMA = "doc_id long, mark long, n long, key binary, slice binary, owners binary, counts binary, rows long, keys binary, sizes binary"
 
 
-def _packed(keys: np.ndarray, counts: np.ndarray, most: int) -> list[tuple[int, bytes, bytes]]:
-    """(partition, keys, counts): counts of sets, dealt to partitions by their fingerprints."""
-    to = (keys[:, 0] % np.uint64(most)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    cut = np.searchsorted(to[order], np.arange(most + 1))
-    rows = [(k, order[cut[k] : cut[k + 1]]) for k in np.flatnonzero(np.diff(cut)).tolist()]
-    return [(k, keys[at].tobytes(), counts[at].astype("<u4").tobytes()) for k, at in rows]
+def _pack(owners: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts of sets, which are known by their numbers in a slice: two bytes and one; an owner of more
+    than 255 stands several times."""
+    times = (counts + 254) // 255
+    last = np.cumsum(times) - 1
+    out = np.full(int(times.sum()), 255, np.uint8)
+    out[last] = counts - 255 * (times - 1)
+    return np.repeat(owners, times).astype("<u2").tobytes(), out.tobytes()
 
 
-def shared_counts(found: DataFrame) -> DataFrame:
-    """(key, shared) of packed counts: what the buckets say, and the least that a batch says.
+def _unpack(owners: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(owners, "<u2").astype(np.int64), np.frombuffer(counts, np.uint8).astype(np.int64)
 
-    A shingle that one batch holds in several sets and another in this one alone stands in a bucket, so
-    any one batch's count covers what no bucket has seen; the sum is no less than the true number.
+
+def lonely(found: DataFrame) -> DataFrame:
+    """(key) of the sets that have less than three quarters of their shingles in other sets, from rows of
+    slices. A slice whose rows haven't all been counted, as after a task that ran again on rows in another
+    order, has none.
     """
     spark = found.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, here = [], [], []
+        now, counted, own, total = None, 0, None, np.zeros(SLICE_ROWS, np.int64)
+
+        def close() -> list[bytes]:
+            if own is None:
+                return []
+            rows, keys, sizes = own
+            n = np.frombuffer(sizes, "<u4").astype(np.int64)
+            few = np.flatnonzero(100 * total[: len(n)] < 75 * n).tolist() if counted == rows else []
+            return [keys[16 * i : 16 * i + 16] for i in few]
+
         for batch in batches:
-            for k, c, own in zip(*(batch.column(i).to_pylist() for i in range(1, 4))):
-                keys.append(np.frombuffer(k, "<u8").reshape(-1, 2))
-                counts.append(np.frombuffer(c, "<u4").astype(np.int64))
-                here.append(np.full(len(counts[-1]), own))
-        if not keys:
-            return
-        known, index = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
-        index, counts, here = index.reshape(-1), np.concatenate(counts), np.concatenate(here)
-        total = np.bincount(index[~here], weights=counts[~here], minlength=len(known)).astype(np.int64)
-        least = np.full(len(known), np.iinfo(np.int64).max)
-        np.minimum.at(least, index[here], counts[here])
-        total += np.where(least == np.iinfo(np.int64).max, 0, least)
-        for k in range(0, len(known), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in known[k : k + 100_000]], pa.binary()), pa.array(total[k : k + 100_000])], ["key", "shared"])
-
-    rows = found.select("to", "keys", "shared", "here").repartition(parts(spark), "to")
-    return rows.mapInArrow(tidy(run), "key binary, shared long")
+            out: list[bytes] = []
+            for part, owners, counts, rows, keys, sizes in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if part != now:
+                    out += close()
+                    now, counted, own = part, 0, None
+                    total[:] = 0
+                if keys is None:
+                    counted += rows
+                elif own is not None:
+                    continue
+                else:
+                    own = rows, keys, sizes
+                np.add.at(total, *_unpack(owners, counts))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["key"])
+        yield pa.RecordBatch.from_arrays([pa.array(close(), pa.binary())], ["key"])
+
+    rows = found.select("slice", "owners", "counts", "rows", "keys", "sizes")
+    return rows.repartition(parts(spark), "slice").sortWithinPartitions("slice").mapInArrow(tidy(run), "key binary")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds, stored. A document's: (doc_id, mark: a hash of its text, n: its set's size,
-    key: its set's fingerprint, null for an empty set), to null. And packed counts (to: a partition,
-    keys, shared, here): how many shingles of sets occur in some other set, found in a bucket, or
-    within a batch (here)."""
+    """Rows of documents and, with a slice, of slices of them, stored. A document's: (doc_id, mark: a hash
+    of its text, n: its set's size, key: its set's fingerprint, null for an empty set). A slice's: its
+    sets' keys and sizes, how many rows it dealt, and how many shingles of each set (owners, counts) occur
+    in another set of the slice; or, without keys, in one of another slice, as found in so many of the rows.
+
+    A slice is named by its sets. Sets in several slices count as each other's partners; so a set's count
+    is never below the true one, and too high only for repeated sets.
+    """
     spark = docs.sparkSession
     ship(spark)
-    # As many buckets as tasks: a set goes to each with its fingerprint, whatever few shingles it has there.
-    buckets = most = parts(spark)
-    names = ["bucket", "owners", "counts", "hashes", "marks", *_SIGNATURES]
-    kinds = (pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
+    buckets = parts(spark)
+    names = ["bucket", "hashes", "marks", *_SIGNATURES]
+    kinds = (pa.int32(), pa.binary(), pa.binary(), *_TYPES)
 
     def dealt(sets: dict[bytes, np.ndarray]) -> list[tuple]:
         """Packed shingles of distinct sets, a row for each bucket, and the shared ones counted here."""
-        keys = list(sets)
+        keys = b"".join(sets)
+        name = xxhash.xxh3_128_digest(keys)
+        sizes = np.array([len(s) for s in sets.values()], np.int64)
         h = np.concatenate(list(sets.values()))
-        doc = np.repeat(np.arange(len(keys), dtype=np.int32), [len(s) for s in sets.values()])
+        doc = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
         first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)))
         total = np.diff(first, append=len(h))
-        here = np.bincount(doc[np.repeat(total > 1, total)], minlength=len(keys))
+        here = np.bincount(doc[np.repeat(total > 1, total)], minlength=len(sets))
         alone, mark = first[total == 1], first[total > 1]
         low = h.astype("<u4")
         where = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
@@ -130,10 +153,11 @@ def signatures(docs: DataFrame) -> DataFrame:
         for b in np.flatnonzero(np.diff(cut) + np.diff(cut_marks)).tolist():
             at = alone[cut[b] : cut[b + 1]]
             at = at[np.argsort(doc[at], kind="stable")]
-            owners, n = np.unique(doc[at], return_counts=True)
-            rows.append((b, b"".join([keys[i] for i in owners]), n.astype("<u4").tobytes(), low[at].tobytes(), low[mark[cut_marks[b] : cut_marks[b + 1]]].tobytes(), *[None] * 8))
-        # All of them, as one that has none here must say so.
-        return rows + [(to % buckets, *[None] * 8, to, k, c, True) for to, k, c in _packed(np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2), here, most)]
+            owned = _pack(*np.unique(doc[at], return_counts=True))
+            rows.append((b, low[at].tobytes(), low[mark[cut_marks[b] : cut_marks[b + 1]]].tobytes(), *[None] * 4, name, *owned, *[None] * 3))
+        some = np.flatnonzero(here)
+        to = int.from_bytes(name[:4], "little") % buckets
+        return rows + [(to, *[None] * 6, name, *_pack(some, here[some]), len(rows), keys, sizes.astype("<u4").tobytes())]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,66 +173,67 @@ def signatures(docs: DataFrame) -> DataFrame:
                         if key is not None:
                             sets[key] = s
                     n, key = seen[text]
-                    rows.append((mark % buckets, *[None] * 4, i, mark, n, key, *[None] * 4))
+                    rows.append((mark % buckets, None, None, i, mark, n, key, *[None] * 6))
                 if sets:
                     rows += dealt(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        # A bucket's rows by slice; what was found so far of each slice: rows, owners, counts.
+        held: dict[bytes, tuple] = {}
+        found: dict[bytes, list[tuple[np.ndarray, np.ndarray]]] = {}
+        now, many_found = None, 0
 
-        def close() -> None:
+        def close() -> int:
             if not held:
-                return
-            keys, *cols = zip(*held)
-            keys = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
-            counts, h, marks = (np.frombuffer(b"".join(c), "<u4") for c in cols)
-            if not len(h):
-                return
-            # Equal sets of different batches are one owner.
-            known, index = np.unique(keys, axis=0, return_inverse=True)
-            owner = index.reshape(-1)[np.repeat(np.arange(len(keys)), counts)]
+                return 0
+            known = list(held)
+            h, marks = (np.frombuffer(b"".join(x[k] for x in held.values()), "<u4") for k in (0, 1))
+            owner = np.concatenate([np.repeat(o + (k << 16), c) for k, (o, c) in enumerate(_unpack(*x[2:]) for x in held.values())])
+            held.clear()
             order = np.argsort(h, kind="stable")
             h, owner = h[order], owner[order]
             first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint32(1)))
-            many = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) | np.isin(h[first], marks)
             size = np.diff(first, append=len(h))
-            # An owner's shingle counts once, however many batches hold its set.
-            pair = np.unique(np.repeat(np.flatnonzero(many), size[many]) * len(known) + owner[np.repeat(many, size)])
-            shared = np.bincount(pair % len(known), minlength=len(known))
-            some = np.flatnonzero(shared)
-            found.append((known[some], shared[some]))
+            many = (size > 1) | np.isin(h[first], marks)
+            some, n = np.unique(owner[np.repeat(many, size)], return_counts=True)
+            cut = np.searchsorted(some, np.arange(len(known) + 1) << 16)
+            for k, name in enumerate(known):
+                at = slice(cut[k], cut[k + 1])
+                found.setdefault(name, []).append((some[at] & 0xFFFF, n[at]))
+            return len(some) + len(known)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            """What the buckets so far give, summed by set."""
-            if sum(len(c) for _, c in found):
-                known, index = np.unique(np.concatenate([k for k, _ in found]), axis=0, return_inverse=True)
-                total = np.bincount(index.reshape(-1), weights=np.concatenate([c for _, c in found])).astype(np.int64)
-                rows = [(*[None] * 4, to, k, c, False) for to, k, c in _packed(known, total, most)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds[5:])], _SIGNATURES)
+            """What the buckets so far give, summed by slice."""
+            rows = []
+            for name, x in found.items():
+                total = np.bincount(np.concatenate([o for o, _ in x]), weights=np.concatenate([c for _, c in x])).astype(np.int64)
+                some = np.flatnonzero(total)
+                rows.append((*[None] * 4, name, *_pack(some, total[some]), len(x), None, None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _SIGNATURES)
             found.clear()
 
         for batch in batches:
             passed = batch.filter(batch.column(1).is_null())
             if passed.num_rows:
-                yield pa.RecordBatch.from_arrays(passed.columns[5:], _SIGNATURES)
+                yield pa.RecordBatch.from_arrays(passed.columns[3:], _SIGNATURES)
             own = batch.filter(batch.column(1).is_valid())
-            for b, *x in zip(*(own.column(i).to_pylist() for i in range(5))):
+            for b, name, *x in zip(*(own.column(i).to_pylist() for i in (0, 7, 1, 2, 8, 9))):
                 if b != now:
-                    close()
-                    held, now = [], b
-                    if sum(len(c) for _, c in found) > 1 << 20:
+                    many_found, now = many_found + close(), b
+                    if many_found > 1 << 20:
                         yield from flush()
-                held.append(x)
+                        many_found = 0
+                # Slices of one name have the same rows.
+                held[name] = x
         close()
         yield from flush()
 
-    schema = "doc_id long, mark long, n long, key binary, `to` int, keys binary, shared binary, here boolean"
     texts = id_text(docs).withColumn("mark", F.xxhash64("text"))
-    rows = texts.mapInArrow(tidy(deal), "bucket int, owners binary, counts binary, hashes binary, marks binary, " + schema)
+    rows = texts.mapInArrow(tidy(deal), "bucket int, hashes binary, marks binary, " + _SCHEMA)
     rows = rows.repartition(parts(spark), "bucket").sortWithinPartitions("bucket")
-    return stored(rows.mapInArrow(tidy(count), schema))
+    return stored(rows.mapInArrow(tidy(count), _SCHEMA))
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -393,12 +418,11 @@ def labelled(docs: DataFrame) -> DataFrame:
     """(doc_id, mark: a hash of its text, n, component: its least id, group: its component's own mark, null
     for an empty set) for each document."""
     both = signatures(docs)
-    sig = both.where("`to` IS NULL").select("doc_id", "mark", "n", "key")
-    shared = shared_counts(both.where("`to` IS NOT NULL")).withColumnRenamed("key", "_k")
+    sig = both.where("slice IS NULL").select("doc_id", "mark", "n", "key")
     # The least id names a set, and the text of some document with it is read again.
     source = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     reps = stored(sig.where("key IS NOT NULL").groupBy("key").agg(source.alias("s"), F.first("n").alias("n")).select("key", "n", F.col("s.doc_id").alias("rep"), F.col("s.mark").alias("rep_mark")))
-    chosen = reps.join(shared, F.col("key") == F.col("_k")).where("100 * shared >= 75 * n").select("key", "rep", "rep_mark")
+    chosen = reps.join(lonely(both.where("slice IS NOT NULL")), "key", "left_anti").select("key", "rep", "rep_mark")
     # Numbers of sets, without collisions; stored, so that they stay as they are.
     chosen = stored(chosen.withColumn("id", F.monotonically_increasing_id()))
     texts = id_text(docs).withColumn("mark", F.xxhash64("text"))
