@@ -134,6 +134,22 @@ def test_join_of_a_large_group(spark, monkeypatch):
     assert join(spark, rows) == brute_components(rows)
 
 
+def test_sets_of_a_slice_drop_out_only_when_all_its_rows_are_counted(spark):
+    owners, counts = np.array([0, 3, 4]), np.array([1, 255, 700])
+    got = np.zeros(5, np.int64)
+    packed = jaccard._pack(owners, counts)
+    np.add.at(got, *jaccard._unpack(*packed))
+    assert got.tolist() == [1, 0, 0, 255, 700]
+    keys = [bytes([k]) * 16 for k in range(5)]
+    sizes = np.array([2, 2, 2, 300, 1000], "<u4").tobytes()
+    rows = []
+    for name, counted in ((b"all", 3), (b"some", 2)):
+        rows.append((None, None, None, None, name, b"", b"", 3, b"".join(keys), sizes))
+        rows.append((None, None, None, None, name, *packed, counted, None, None))
+    found = spark.createDataFrame(rows, jaccard._SCHEMA)
+    assert sorted(r.key for r in jaccard.lonely(found).collect()) == [keys[0], keys[1], keys[2], keys[4]]
+
+
 def test_tree_finds_all_links():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 1 << 63, 80, dtype=np.uint64)) for _ in range(6)]
