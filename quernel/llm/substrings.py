@@ -51,6 +51,8 @@ SLICE_ROWS, SLICE_BYTES = 10_000, 8 << 20
 FEW = 8
 #: Parts that the rows of one fingerprint are dealt to where they are joined.
 SALTS = 16
+#: Anchors with more than CHUNK places, eight bytes each, that go to all tasks; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def anchors(data: memoryview | bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -469,17 +471,33 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _heated(each: DataFrame, hot: DataFrame, few: bool) -> DataFrame:
+    """Places (key, at, hot: their anchor), with heat: whether the anchor is one of the hot ones. Few of
+    these go to all tasks and the places stay where they are; of more, each is dealt by a salt too, as
+    the places of one anchor may be very many."""
+    hot = hot.withColumn("heat", F.lit(True))
+    if few:
+        each = each.join(F.broadcast(hot), "hot", "left")
+    else:
+        hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        each = each.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int"))
+        each = each.join(hot.hint("merge"), ["hot", "salt"], "left")
+    return each.select("key", "at", F.coalesce("heat", F.lit(False)).alias("heat"))
+
+
 def spans(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(key, spans): the repeated windows of each distinct text. names: (key, doc_id), a document with it."""
     spark = docs.sparkSession
     dealt = _deal(docs).repartition(parts(spark), "bucket").sortWithinPartitions("bucket")
     found = stored(dealt.mapInArrow(tidy(_repeated), "key binary, at array<int>, anchors array<long>, hot long"))
     own, hot = found.where("key IS NOT NULL").select("key", "at", "anchors"), found.where("hot IS NOT NULL").select("hot").distinct()
-    if hot.isEmpty():
+    number = hot.limit(MOST_BROADCAST + 1).count()
+    if number == 0:
         wanted = own.groupBy("key").agg(F.collect_list("at").alias("at")).withColumn("heat", F.lit(None).cast("array<array<boolean>>"))
     else:
         each = own.select("key", F.explode(F.arrays_zip("at", "anchors")).alias("x")).select("key", F.col("x.at").alias("at"), F.col("x.anchors").alias("hot"))
-        each = each.join(hot.withColumn("is_hot", F.lit(True)), "hot", "left").groupBy("key").agg(F.collect_list(F.struct("at", F.coalesce("is_hot", F.lit(False)).alias("heat"))).alias("x"))
+        each = _heated(each, hot, number <= MOST_BROADCAST)
+        each = each.groupBy("key").agg(F.collect_list(F.struct("at", "heat")).alias("x"))
         wanted = each.select("key", F.array("x.at").alias("at"), F.array("x.heat").alias("heat"))
     wanted = wanted.join(names.select(F.col("key").alias("_k"), F.col("doc_id").alias("_d")), F.col("key") == F.col("_k")).drop("_k")
     texts = id_text(docs).select("doc_id", "text", fingerprint(F.col("text")).alias("_k"))

@@ -186,9 +186,11 @@ def cut(spark, rows):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
 
-@pytest.mark.parametrize("chunk", [50_000, 3])
-def test_cut_against_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, most", [(50_000, 100_000), (3, 100_000), (3, 0)])
+def test_cut_against_brute_force(spark, monkeypatch, chunk, most):
+    """Also where anchors are too many for a task, and those too many to broadcast."""
     monkeypatch.setattr(substrings, "CHUNK", chunk)
+    monkeypatch.setattr(substrings, "MOST_BROADCAST", most)
     rows = corpus(12, 80) + [(900, "ab" * 400), (901, "a" * 199), (902, "b" * 200), (903, "b" * 201), (904, "xyz " * 30 + "q" * 500), (905, None)]
     assert cut(spark, rows) == brute_cut(rows)
 
