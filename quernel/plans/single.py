@@ -32,7 +32,7 @@ class Single:
     @property
     def metrics(self) -> DataFrame:
         tree = self.facts.where("kind = 'module'").select("repo_id", "path", F.col("a").alias("ast_complexity"))
-        return lexical.metrics(self.files.join(tree, ["repo_id", "path"], "left"), "ast_complexity")
+        return lexical.metrics(self.files, tree)
 
     @cached_property
     def findings(self) -> DataFrame:

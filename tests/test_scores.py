@@ -102,3 +102,13 @@ def test_lexical_golden(files):
     text = "import os\n\nclass A:\n    async def  f(x):\n        for i in x:\n            if i:\n                pass\n# subclass of B; forfor, if_\n"
     r = lexical.metrics(files({"a.py": text})).first()
     assert (r.lines, r.functions, r.classes, r.imports, r.loops, r.conditionals, r.complexity_score, r.risk) == (8, 1, 2, 1, 1, 1, 3, "Low")
+
+
+def test_counts_are_those_of_the_plain_patterns(spark):
+    texts = ["", "\n", "if", "xif if_ elif\nelse:", "for x in y\r\nwhile\rforé éfor", "a\u2028b", "a\nb\x0b", "async  def f(\ndef g(\nclass A", " import a\n\n  from b import c\nimportant", "no\nend", None]
+    rows = spark.createDataFrame([("r", str(k), ".py", t) for k, t in enumerate(texts)], "repo_id string, path string, ext string, text string")
+    word = lambda ws: rf"(?<!{lexical.WORD})(?:{'|'.join(ws)})(?!{lexical.WORD})"
+    plain = {"functions": lexical.FUNCTION, "classes": lexical.CLASS, "imports": lexical.IMPORT, "loops": word(lexical.LOOPS), "conditionals": word(lexical.CONDITIONALS)}
+    n = F.regexp_count("text", F.lit(lexical.LINE_END)) + F.when((F.length("text") > 0) & ~F.col("text").rlike(rf"(?:{lexical.LINE_END})\z"), 1).otherwise(0)
+    want = rows.select("path", n.alias("lines"), *(F.regexp_count("text", F.lit(p)).alias(c) for c, p in plain.items())).orderBy("path").collect()
+    assert lexical.metrics(rows).select("path", "lines", *plain).orderBy("path").collect() == want
