@@ -49,6 +49,14 @@ def test_source_code_is_made_by_many_tasks(spark, sf, monkeypatch):
     assert p.rdd.getNumPartitions() == 1 and len(tasks) >= 5 and sum(r["count"] for r in tasks) == 3000
 
 
+def test_no_more_tasks_than_keep_the_cores_busy(spark, sf, monkeypatch):
+    monkeypatch.setattr(codebase, "PARTS", 10)
+    cores = spark.sparkContext.defaultParallelism
+    assert codebase.code_files(spark, sf).rdd.getNumPartitions() == 3 * codebase.WAVES * cores
+    monkeypatch.setattr(codebase, "MOST_PARTS", 50)
+    assert codebase.code_files(spark, sf).rdd.getNumPartitions() == 3 * (3000 // 50 + 1)
+
+
 @pytest.mark.parametrize("name", ["code_metrics", "code_findings", "code_prompts", "code_reviews", "code_edges"])
 def test_only_the_facts_it_needs(spark, sf, name, monkeypatch):
     from quernel.plans import repository
