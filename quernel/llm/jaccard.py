@@ -16,11 +16,14 @@ shingle, no words an empty set, which links with nothing. Sets are compared as 6
 4. A group above CHUNK shingles is dealt to chunks. Each chunk meets the first one, which makes most
    of a group of copies one component; then only sets outside the group's largest component meet the
    chunks that they haven't met. So work grows with a group of copies, not with its square.
-5. In a task a signature tree is built: leaves of sets, nodes with the OR and the AND of their
+5. Groups meet by token bitmaps first: only sets that may link with one of another component there are
+   sent with their shingles. A bitmap is a fraction of a set, and sets that share a key by chance, of
+   which there are the more the more texts there are, stay behind; this loses no link.
+6. In a task a signature tree is built: leaves of sets, nodes with the OR and the AND of their
    token bitmaps and their range of sizes. A dual traversal drops pairs of nodes whose greatest
    possible overlap is too small or which are one component already; the sets of what remains are
    intersected exactly.
-6. The links found give components.
+7. The links found give components.
 
 Null, empty and blank texts are alone, with n_shingles 0. Rows that repeat an id are documents of
 their own: each has the size of its own set and the least id of its own component. So have rows
@@ -47,6 +50,10 @@ CHUNK = 1 << 20
 #: Rows and bytes of text, about, whose shingles are put together before they are dealt.
 SLICE_ROWS, SLICE_BYTES = 10_000, 8 << 20
 LEAF, FAN, WORDS = 16, 8, 16
+#: Rows of a group that meet by bitmaps, and how many at once; larger groups meet with their shingles at once.
+MEET, ABREAST = 1024, 64
+#: Bits of the map that tells which texts are worth a shuffle: for each of them, and in all.
+BITS, MOST_BITS = 16, 1 << 26
 _rng = np.random.default_rng(20240611)
 _FACTORS = _rng.integers(1 << 62, size=KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -352,8 +359,44 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, i, j, comp, id, n, bits) sorted by the first three those that may link with a row of
+    theirs that is of another component, without n and bits."""
+    names, kinds = ["key", "i", "j", "comp", "id"], [pa.int64()] * 5
+    group, now, large = [], None, False
+
+    def close() -> list[tuple]:
+        if len(group) < 2:
+            return []
+        comp, n = (np.array([g[k] for g in group], np.int64) for k in (3, 5))
+        bits = np.frombuffer(b"".join(g[6] for g in group), np.uint64).reshape(len(group), WORDS)
+        ok = np.zeros(len(group), bool)
+        for at in range(0, len(group), ABREAST):
+            x = slice(at, at + ABREAST)
+            own, n1 = bits[x, None], n[x, None]
+            may = _may_link(n1, n1, _popcount(own & ~bits), n, n, _popcount(bits & ~own)) & (comp[x, None] != comp)
+            ok[x] = may.any(axis=1)
+        return [group[k][:5] for k in np.flatnonzero(ok).tolist()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    for batch in batches:
+        out: list[tuple] = []
+        for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            if row[:3] != now:
+                out += close()
+                group, now, large = [], row[:3], False
+            group.append(row)
+            if large or len(group) > MEET:
+                out += [g[:5] for g in group]
+                group, large = [], True
+        yield made(out)
+    yield made(close())
+
+
 def _sets(texts: DataFrame) -> DataFrame:
-    """(id, n, shingles, keys) of rows (id, text, key) whose text has the set that key names."""
+    """(id, n, shingles, keys, bits) of rows (id, text, key) whose text has the set that key names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,15 +404,30 @@ def _sets(texts: DataFrame) -> DataFrame:
                 found = [(i, s) for i, t, key in zip(part.column(0).to_pylist(), raw(part.column(1)), part.column(2).to_pylist()) if _fingerprint(s := shingle_set(t)) == key]
                 # The least multiples; a set's own mark goes with its place, so that places differ.
                 keys = [[int((s * f).min() >> np.uint64(1)) ^ p << 56 for p, f in enumerate(_FACTORS)] for _, s in found]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "shingles", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([b.tobytes() for b in _bitmaps([s for _, s in found])], pa.binary())], ["id", "n", "shingles", "keys", "bits"])
+
+    return texts.select("id", "text", "key").mapInArrow(tidy(run), "id long, n long, shingles binary, keys array<long>, bits binary")
+
 
-    return texts.select("id", "text", "key").mapInArrow(tidy(run), "id long, n long, shingles binary, keys array<long>")
+def _likely(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """texts whose mark's bit is set in a map of chosen's marks: all of chosen's texts and some others, the
+    more the fuller the map, which has a bound and so may be broadcast."""
+    bits = min(MOST_BITS, 1 << max(15, (BITS * chosen.count()).bit_length()))
+    slot = lambda c: F.pmod(c, F.lit(bits))
+    maps = chosen.select(slot("rep_mark").alias("s")).groupBy(F.shiftright("s", 15).alias("_at")).agg(F.bitmap_construct_agg(F.expr("s & 32767")).alias("_map"))
+    rows = texts.withColumn("_slot", slot("mark")).join(F.broadcast(maps), F.shiftright("_slot", 15) == F.col("_at"))
+    byte = "cast(conv(hex(substring(_map, cast(shiftright(_slot & 32767, 3) AS int) + 1, 1)), 16, 10) AS int)"
+    return rows.where(f"shiftright({byte}, cast(_slot & 7 AS int)) & 1 = 1").select(*texts.columns)
 
 
 def _met(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """The links that rows (key, i, j, comp, id) find where they meet by the first three."""
-    rows = rows.join(sets.select("id", "shingles"), "id").select("key", "i", "j", "comp", "shingles")
-    return rows.repartition(parts(sets.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(_match), "a long, b long")
+    by, n = ("key", "i", "j"), parts(sets.sparkSession)
+    rows = rows.join(sets.select("id", "n", "bits"), "id").select(*by, "comp", "id", "n", "bits")
+    # Stored, so that Spark knows how few they are before it shuffles the sets.
+    rows = stored(rows.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(tidy(_hopeful), "key long, i long, j long, comp long, id long"))
+    rows = rows.join(sets.select("id", "shingles"), "id").select(*by, "comp", "shingles")
+    return rows.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(tidy(_match), "a long, b long")
 
 
 def _chunks(size: Column) -> Column:
@@ -426,7 +484,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     # Numbers of sets, without collisions; stored, so that they stay as they are.
     chosen = stored(chosen.withColumn("id", F.monotonically_increasing_id()))
     texts = id_text(docs).withColumn("mark", F.xxhash64("text"))
-    texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark")))
+    texts = _likely(texts, chosen).join(chosen, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark")))
     # Rows repeated as they are count once.
     sets = stored(_sets(texts.groupBy("doc_id", "mark", "id", "key").agg(F.min("text").alias("text"))))
     light = sets.select("id", "n", "keys")

@@ -169,6 +169,32 @@ def test_tree_finds_all_links():
     assert [got.find(i) for i in range(300)] == [want.find(i) for i in range(300)]
 
 
+@pytest.mark.parametrize("meet", [1024, 2])
+def test_only_sets_that_may_link_meet_with_their_shingles(monkeypatch, meet):
+    monkeypatch.setattr(jaccard, "MEET", meet)
+    monkeypatch.setattr(jaccard, "ABREAST", 2)
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(1 << 62, size=n, dtype=np.uint64)
+    a, c = fresh(200), fresh(200)
+    sets = [a, np.concatenate([a[:180], fresh(20)]), np.concatenate([a[:100], fresh(100)]), a[:120], c, np.concatenate([c[:190], fresh(10)]), fresh(50), fresh(50)]
+    # The first two are alike, the two of c are one component already; the last two are alone or strangers.
+    rows = [(k, 0, 0, comp, i, len(sets[i]), jaccard._bitmaps([sets[i]])[0].tobytes()) for k, comp, i in ((1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 4, 4), (2, 4, 5), (3, 6, 6), (4, 0, 0), (4, 6, 6))]
+    kinds = [jaccard.pa.int64()] * 6 + [jaccard.pa.binary()]
+    batches = [jaccard.pa.RecordBatch.from_arrays([jaccard.pa.array(c, t) for c, t in zip(zip(*part), kinds)], list("kjicdnb")) for part in (rows[:1], rows[1:])]
+    got = [tuple(r.values()) for b in jaccard._hopeful(iter(batches)) for r in b.to_pylist()]
+    assert got == ([(1, 0, 0, 0, 0), (1, 0, 0, 1, 1)] if meet > 4 else [r[:5] for r in rows if r[0] == 1])
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 6])
+def test_texts_without_a_chosen_set_are_not_shuffled(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "MOST_BITS", most)
+    texts = spark.range(5000).selectExpr("id AS doc_id", "cast(id AS string) AS text", "xxhash64(id) AS mark")
+    chosen = texts.where("doc_id % 50 = 0").selectExpr("mark AS rep_mark")
+    got = {r.doc_id for r in jaccard._likely(texts, chosen).collect()}
+    assert got >= set(range(0, 5000, 50)) and len(got) < (5000 if most < 1 << 20 else 500)
+    assert jaccard._likely(texts, chosen.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(200, x) for x in range(201, 230)] + [(7, 7)]
