@@ -77,3 +77,14 @@ def test_neighbourhood_and_filters(spark):
     assert got == {"a", "b", "c"}
     kept = graph.filter_edges(e, spark.createDataFrame([("r", "c"), ("r", "d")], "repo_id string, node string")).collect()
     assert [(r.src, r.dst) for r in kept] == [("c", "d")]
+
+
+def test_modules_are_found_once_for_a_graph(files, monkeypatch):
+    from quernel.plans import repository
+
+    made = []
+    plain = graph.modules
+    monkeypatch.setattr(repository.graph, "modules", lambda rows: made.append(1) or plain(rows))
+    r = repository.Repository(files({"a.py": "import b\n", "b.py": "import os\n"}), parts=("graph",))
+    assert {(e.src, e.dst, e.internal) for e in r.edges.collect()} == {("a", "b", True), ("b", "os", False)}
+    assert r.node_link.count() == 1 and r.degrees.count() == 2 and made == [1]
